@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from recollect.llm import simhash_tiles
+from recollect.llm import packing, simhash_tiles, token_files
 
-MODULES = [simhash_tiles]
+MODULES = [packing, token_files, simhash_tiles]
 
 
 def queries() -> dict:
