@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from recollect.llm import langid, matroska, packing, simhash_blocks, simhash_tiles, token_files, toxicity
+from recollect.llm import langid, matroska, packing, pii, simhash_blocks, simhash_tiles, token_files, toxicity
 
-MODULES = [toxicity, simhash_blocks, matroska, langid, packing, token_files, simhash_tiles]
+MODULES = [toxicity, simhash_blocks, matroska, langid, packing, token_files, simhash_tiles, pii]
 
 
 def queries() -> dict:
