@@ -8,8 +8,13 @@ MODULES = [toxicity, simhash_blocks, mixing, matroska, langid, packing, token_fi
 
 
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
+    import corpus_pipeline
+
+    return {**{k: f for m in MODULES for k, f in m.QUERIES.items()}, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {k: s for m in MODULES for k, s in m.ORACLES.items()}
+    import corpus_pipeline
+
+    own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {**{k: s for m in MODULES for k, s in m.ORACLES.items()}, **own}

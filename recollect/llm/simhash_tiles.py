@@ -55,17 +55,19 @@ def words(text):
     return F.split(F.btrim(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(SPACE)), r"[\x20\x09-\x0D]+")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(uid, doc_id, fingerprint long) of every row."""
-    base = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, hashed: bool = False) -> DataFrame:
+    """(uid, doc_id, fingerprint long) of every row; with ``hashed`` also ``key``, a hash of the text."""
+    keys = ["uid", "doc_id", *["key"] * hashed]
+    key = [F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key")] * hashed
+    base = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), *key, words(F.col(text_col)).alias("w"))
     n = F.size("w")
     whole = F.array(F.concat_ws(" ", "w"))
     none = F.array(F.lit(None).cast("string"))
     columns = [F.when(n >= shingle, F.slice("w", i + 1, F.greatest(n - (shingle - 1), F.lit(1)))).otherwise(whole if i == 0 else none).alias(f"w{i}") for i in range(shingle)]
-    rows = base.select("uid", "doc_id", *columns).select("uid", "doc_id", F.inline(F.arrays_zip(*[f"w{i}" for i in range(shingle)])))
+    rows = base.select(*keys, *columns).select(*keys, F.inline(F.arrays_zip(*[f"w{i}" for i in range(shingle)])))
     term = F.concat_ws(" ", *[f"w{i}" for i in range(shingle)])
-    hashed = rows.select("uid", "doc_id", F.when(term != "", F.xxhash64(term)).alias("h"))
-    return hashed.groupBy("uid", "doc_id").agg(*vote(F.col("h")), F.count("h").alias("n")).select("uid", "doc_id", majority(F.col("n")).alias("fingerprint"))
+    terms = rows.select(*keys, F.when(term != "", F.xxhash64(term)).alias("h"))
+    return terms.groupBy(*keys).agg(*vote(F.col("h")), F.count("h").alias("n")).select(*keys, majority(F.col("n")).alias("fingerprint"))
 
 
 def _forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,15 +141,30 @@ def links(distinct: DataFrame, radius: int = 2, tile: int = 4096) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_compare(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, tile: int = 4096) -> DataFrame:
-    """(doc_id, fingerprint string, component_id) for every row of ``docs``."""
-    rows = common.materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+def grouped(rows: DataFrame, radius: int, tile: int) -> DataFrame:
+    """(fingerprint, component_id) of the distinct fingerprints of ``rows``."""
     classes = common.materialize(rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("first")), "classes")
     roots = common.components(links(classes.select("fp"), radius, tile))
     joined = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = joined.join(least, "root").select(F.col("fp").alias("fingerprint"), "component_id")
-    return rows.join(named, "fingerprint").select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+    return joined.join(least, "root").select(F.col("fp").alias("fingerprint"), "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, tile: int = 4096) -> DataFrame:
+    """(doc_id, fingerprint string, component_id) for every row of ``docs``."""
+    rows = common.materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    return rows.join(grouped(rows, radius, tile), "fingerprint").select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, tile: int = 4096) -> DataFrame:
+    """``docs`` with one row of each component: that of the least id (rows without an id come last)."""
+    rows = common.materialize(fingerprints(docs, id_col, text_col, hashed=True), "fingerprints")
+    place = F.struct(F.isnull("doc_id"), F.col("doc_id"), F.col("key"))
+    first = rows.join(grouped(rows, radius, tile), "fingerprint").groupBy("root").agg(F.min(place).alias("first"))
+    kept = first.select(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__kept"))
+    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    found = keyed.join(kept, keyed[id_col].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__kept")))
+    return found.dropDuplicates(["__id", "__kept"]).select(*docs.columns)
 
 
 def op8_simhash_tiles(spark, sf_dir: str) -> DataFrame:
