@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recollect.plans import graphs, texts
+from recollect.plans import claims, graphs, quality, texts
 from recollect.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "graphs", "texts"]
+__all__ = ["ORACLES", "QUERIES", "claims", "graphs", "quality", "texts"]
