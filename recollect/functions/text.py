@@ -15,6 +15,11 @@ def r4(x: Column) -> Column:
     return F.floor(x * 10000 + 0.5) / 10000
 
 
+def strip(x: Column) -> Column:
+    """Without white space at the ends."""
+    return F.btrim(x, F.lit(" \t\n\r\f\x0b"))
+
+
 def normalize_text(x: Column | str) -> Column:
     """Lower case; separators, possessives and punctuation to single blanks."""
     out = F.regexp_replace(F.lower(col(x)), r"[-_./\\]+", " ")
@@ -30,7 +35,7 @@ def normalize_label(x: Column | str) -> Column:
 
 def context_label(x: Column | str) -> Column:
     """The first non-blank line without its speaker, 200 characters at most."""
-    lines = F.filter(F.transform(F.split(col(x), "\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(col(x), "\n"), lambda s: strip(s)), lambda s: s != "")
     first = F.regexp_replace(F.try_element_at(lines, F.lit(1)), r"^(User|Assistant|Human|AI):\s*", "")
     return F.coalesce(F.substring(first, 1, 200), F.lit("Unnamed context"))
 

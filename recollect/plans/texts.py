@@ -61,7 +61,7 @@ def norm_label(spark, d):
 
 @query("""
 SELECT conv_id, turn, coalesce(substr(regexp_replace(line, '^(User|Assistant|Human|AI):\\s*', ''), 1, 200), 'Unnamed context') AS label FROM (
-  SELECT conv_id, turn, (SELECT l FROM (SELECT trim(x) AS l, i FROM (SELECT unnest(string_split(c.text, chr(10))) AS x, generate_subscripts(string_split(c.text, chr(10)), 1) AS i)) WHERE l <> '' ORDER BY i LIMIT 1) AS line FROM conversations c)
+  SELECT conv_id, turn, (SELECT l FROM (SELECT trim(x, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS l, i FROM (SELECT unnest(string_split(c.text, chr(10))) AS x, generate_subscripts(string_split(c.text, chr(10)), 1) AS i)) WHERE l <> '' ORDER BY i LIMIT 1) AS line FROM conversations c)
 """)
 def context_labels(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", text.context_label("text").alias("label"))

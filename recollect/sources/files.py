@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recollect.functions.text import strip
+
 EXTENSIONS = ["md", "txt", "json", "jsonl", "log"]
 MESSAGE = "message struct<author: struct<role: string>, content: struct<parts: array<string>>>, parent string, children array<string>"
 
@@ -54,13 +56,13 @@ def chunks(notes: DataFrame, path: str, content: str) -> DataFrame:
     """(path, i, heading, body): a note's preamble and its sections, empty ones left out."""
     parts = F.split(F.concat(F.lit("\n"), F.regexp_replace(content, r"(?s)^---\n.*?\n---\n", "")), r"\n(?=#{1,6} )")
     rows = notes.select(path, F.posexplode(parts).alias("i", "part"))
-    rows = rows.select(path, "i", F.regexp_extract("part", r"^#{1,6} +([^\n]*)", 1).alias("heading"), F.trim(F.regexp_replace("part", r"^#{1,6} [^\n]*\n?", "")).alias("body"))
+    rows = rows.select(path, "i", F.regexp_extract("part", r"^#{1,6} +([^\n]*)", 1).alias("heading"), strip(F.regexp_replace("part", r"^#{1,6} [^\n]*\n?", "")).alias("body"))
     return rows.where("heading <> '' or body <> ''")
 
 
 def links(content: Column) -> Column:
     """Targets of double-bracket links, and tags."""
-    targets = F.transform(F.regexp_extract_all(content, F.lit(r"\[\[([^\]|#]+)"), F.lit(1)), F.trim)
+    targets = F.transform(F.regexp_extract_all(content, F.lit(r"\[\[([^\]|#]+)"), F.lit(1)), lambda t: strip(t))
     tags = F.regexp_extract_all(content, F.lit(r"(?:^|\s)#([A-Za-z][\w/-]*)"), F.lit(1))
     return F.array_sort(F.array_union(targets, tags))
 
