@@ -242,6 +242,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     seeds = common.materialize(rows.select("th", "text").mapInArrow(_seeds(min_words, gram), "seed long, th long, pos long"), "seeds")
     names = common.materialize(rows.select("doc_id", "th"), "names")
     again = seeds.where("seed is not null").groupBy("seed").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a < b").select("seed")
+    again = common.materialize(again, "again")
     places = seeds.join(again, "seed").groupBy("th").agg(F.collect_set("pos").alias("at"))
     groups = names.groupBy("th").agg(F.count("*").alias("copies"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("id"))
     chosen = places.join(groups, "th").select("th", "id", "at")
