@@ -1,7 +1,7 @@
 """Toxicity (operator 1): non-negative positive-unlabelled learning in numpy.
 
 Confirmed toxic examples and unlabelled text train three linear classifiers over the
-presence of words. The risk is pi * R_P(+) + max(0, R_U(-) - pi * R_P(-)): where the
+presence of words and of their beginnings. The risk is pi * R_P(+) + max(0, R_U(-) - pi * R_P(-)): where the
 corrected negative part falls below zero its gradient is reversed, as in the
 non-negative estimator. Each classifier sees another half of the unlabelled text; a soft
 threshold keeps their weights sparse; a text's score is the mean of their
@@ -31,10 +31,14 @@ from recollect.llm import common
 
 WORD = re.compile(r"[^\W\d_]+")
 VOCABULARY = 60_000
+#: Lengths of the beginnings of words that are terms beside the words.
+STEMS = (4, 5)
 
 
 def terms(text: str | None) -> set[str]:
-    return set(WORD.findall((text or "").lower()))
+    """Words, and the beginnings of longer ones: insults are inflected and compounded."""
+    words = set(WORD.findall((text or "").lower()))
+    return words | {f"{w[:n]}*" for w in words for n in STEMS if len(w) > n}
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +85,7 @@ def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, pr
     return w, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = 3000, unlabelled: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[dict[str, tuple[float, ...]], tuple[float, ...]]:
+def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = 2000, unlabelled: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[dict[str, tuple[float, ...]], tuple[float, ...]]:
     """Words' weights and the biases of the classifiers, from training rows only.
 
     The sampled ids of toxic documents are as many as ``positives`` at most in expectation, so they are broadcast.
