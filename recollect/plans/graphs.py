@@ -87,10 +87,11 @@ def forget_preview(spark, d):
     return graph.forget_preview(e, e.select(F.col("target").alias("query"), F.col("target").alias("node")), 10).groupBy("query").agg(F.count("*").alias("descendants"))
 
 
-@query("WITH e AS (SELECT 'c' || o_custkey AS node FROM orders) SELECT 'c' || c_custkey AS node FROM customer WHERE 'c' || c_custkey NOT IN (SELECT node FROM e)")
+@query("WITH e AS (SELECT 'c' || o_custkey AS node FROM orders WHERE o_orderstatus = 'P') SELECT 'c' || c_custkey AS node FROM customer WHERE 'c' || c_custkey NOT IN (SELECT node FROM e)")
 def orphans(spark, d):
-    """Customers without orders."""
-    e = views.edges(spark, d).where("edge_type = 'mentioned_by'")
+    """Customers without pending orders."""
+    pending = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("oc"), F.col("o_orderkey").cast("string")).alias("edge_id"))
+    e = views.edges(spark, d).where("edge_type = 'mentioned_by'").join(pending, "edge_id", "left_semi")
     return graph.orphans(views.nodes(spark, d).where("node like 'c%'").select("node"), e)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions.similarity import ratio
 from recollect.functions.text import r4
-from recollect.operators import evaluate, render
+from recollect.operators import answers, evaluate, render
 from recollect.plans.graphs import KNN_SQL, R4, _knn
 from recollect.plans.registry import query
 from recollect.session import materialize, table
@@ -143,3 +143,34 @@ def note_chunks(spark, d):
     """Every nation's note as a vault would hold it, cut at its headings."""
     notes = materialize(distill_notes(spark, d), "notes")
     return files.chunks(notes, "entity", "note").select("entity", "i", "heading", F.length("body").alias("size"))
+
+
+WORDS = lambda x: f"list_distinct(regexp_extract_all(lower({x}), '[a-z0-9]+'))"
+
+
+@query(f"""
+WITH q AS (SELECT conv_id, {WORDS("arg_min(text, turn)")} AS q FROM conversations WHERE role = 'user' GROUP BY 1),
+s AS (SELECT c.conv_id, unnest(string_split(regexp_replace(text, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10))) AS sentence FROM conversations c WHERE role <> 'user'),
+r AS (SELECT conv_id, sentence, {R4("len(list_intersect(" + WORDS("sentence") + ", q))::DOUBLE / greatest(len(q), 1) / (1 + 0.002::DOUBLE * greatest(length(sentence) - 80, 0))")} AS score FROM s JOIN q USING (conv_id) WHERE trim(sentence) <> '')
+SELECT conv_id, CASE WHEN score >= 0.15 THEN sentence END AS answer, score FROM r QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, sentence) = 1
+""")
+def extractive_answers(spark, d):
+    """Of each conversation the sentence of others that answers the user's first turn best."""
+    c = table(spark, d, "conversations")
+    first = c.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"))
+    return answers.best_sentence(first, c.where("role <> 'user'").select("conv_id", "text"), "conv_id")
+
+
+@query("SELECT user_id, count(*) AS steps, count(*) FILTER (WHERE ts < before) AS backwards FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) GROUP BY 1")
+def audit_integrity(spark, d):
+    """Whether each user's log runs forward in time."""
+    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("event_id"))
+    return table(spark, d, "events").withColumn("before", before).groupBy("user_id").agg(F.count("*").alias("steps"), F.count_if(F.col("ts") < F.col("before")).alias("backwards"))
+
+
+@query()
+def learned_rescore(spark, d):
+    """Documents' scores moved by a model trained on which of them were found useful (their quality label)."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    signals = table(spark, d, "labels").join(docs, "doc_id").select("text", F.col("quality").alias("used"))
+    return answers.adjust(docs.withColumn("score", F.lit(0.5)), answers.train_scorer(signals), "score").select("doc_id", "score", "adjusted")

@@ -107,13 +107,14 @@ def tech_entities(spark, d):
     return extract.tech_entities(turns, "id", "text").select("id.conv_id", "id.turn", "term", "label")
 
 
-@query(f"""
-WITH e AS (SELECT doc_id, term FROM documents, (SELECT unnest({LIST}) AS term) WHERE contains(lower(text), term))
-SELECT x.term AS a, y.term AS b, count(*) AS contexts FROM e x JOIN e y ON x.doc_id = y.doc_id AND x.term < y.term GROUP BY 1, 2
+@query("""
+WITH e AS (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey)
+SELECT x.p_brand AS a, y.p_brand AS b, count(*) AS contexts FROM e x JOIN e y ON x.l_orderkey = y.l_orderkey AND x.p_brand < y.p_brand GROUP BY 1, 2
 """)
 def entity_cooccurrence(spark, d):
-    """How many documents name both of two terms; a document has 64 terms at most."""
-    return extract.cooccurrence(extract.tech_entities(table(spark, d, "documents"), "doc_id", "text"), "doc_id", "term")
+    """How many orders name both of two brands; an order has seven lines at most."""
+    brands = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "p_brand")
+    return extract.cooccurrence(brands, "l_orderkey", "p_brand")
 
 
 STATEMENTS = {
