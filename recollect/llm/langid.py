@@ -188,8 +188,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     return Model(langs, np.vstack([weights * idf[:, None] * scale, np.zeros(len(langs))]).astype(np.float32), bias, t)
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` columns and (lang_pred, score) of every row."""
+def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns and (lang_pred, score), or what ``names`` calls them, of every row."""
     fields = docs.select(*keep).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,9 +200,9 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str
             if known:
                 p = softmax((sums([texts[i] for i in known], model.table) + model.bias) / model.temperature)
                 lang[known], score[known] = np.array(model.langs, object)[p.argmax(axis=1)], p.max(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names[1:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names[1:], *names])
 
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double"])
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{names[0]}` string, `{names[1]}` double"])
     return docs.select(F.col(text_col).alias("__text"), *keep).mapInArrow(run, ddl)
 
 
