@@ -19,8 +19,8 @@ MIN_SCORE = 0.3
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; the model learns from their own ``lang`` column."""
     columns = docs.columns
-    found = langid.predict(docs, langid.fit(docs), columns)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*columns)
+    found = langid.predict(docs, langid.fit(docs), columns, names=("__lang", "__score"))
+    return found.where((F.col("__lang") != "und") & (F.col("__score") >= MIN_SCORE)).select(*columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
