@@ -39,3 +39,24 @@ def manifest_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     joined = before.select("anchor", F.col("content_hash").alias("a")).join(after.select("anchor", F.col("content_hash").alias("b")), "anchor", "full_outer")
     change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "deleted").when(F.col("a") != F.col("b"), "edited")
     return joined.select("anchor", change.alias("change")).where("change is not null")
+
+
+def parse_tabular(df: DataFrame, key: str, text: str, fields: list[str]) -> DataFrame:
+    """(key, i, fields): the rows of ``tabular`` read back as strings; ``null`` without quotes is null."""
+    lines = df.select(key, F.posexplode(F.slice(F.split(text, "\n"), 2, F.size(F.split(text, "\n")))).alias("i", "line"))
+    cells = F.regexp_extract_all(F.regexp_replace("line", "^  ", ""), F.lit(r'(?:^|,)("(?:[^"\\]|\\.)*"|[^,]*)'), F.lit(1))
+    marked = lines.select(key, "i", cells.alias("c"))
+
+    def value(c: Column) -> Column:
+        inner = F.substring(c, F.lit(2), F.length(c) - 2)
+        whole = F.replace(F.replace(F.replace(F.replace(inner, F.lit("\\\\"), F.lit("\u0001")), F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")), F.lit("\u0001"), F.lit("\\"))
+        return F.when(c.startswith('"'), whole).when(c == "null", None).otherwise(c)
+
+    return marked.select(key, "i", *[value(F.element_at("c", n + 1)).alias(f) for n, f in enumerate(fields)])
+
+
+def newest(df: DataFrame, keys: list[str], order: str, keep: int) -> DataFrame:
+    """The ``keep`` newest rows of each key, as snapshots are pruned."""
+    from pyspark.sql import Window
+
+    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where(F.col("__n") <= keep).drop("__n")

@@ -174,3 +174,35 @@ def learned_rescore(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     signals = table(spark, d, "labels").join(docs, "doc_id").select("text", F.col("quality").alias("used"))
     return answers.adjust(docs.withColumn("score", F.lit(0.5)), answers.train_scorer(signals), "score").select("doc_id", "score", "adjusted")
+
+
+@query("SELECT p_brand AS brand, p_partkey AS id, p_name || ', \"' || p_type || '\"' AS label FROM part")
+def toon_round_trip(spark, d):
+    """The parts of each brand written in tabular notation and read back."""
+    p = table(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(', "'), "p_type", F.lit('"')).alias("label"))
+    written = materialize(render.tabular(p, "brand", "parts", ["id", "label"], ["id"]), "tabular")
+    return render.parse_tabular(written, "brand", "text", ["id", "label"]).select("brand", F.col("id").cast("long").alias("id"), "label")
+
+
+@query("SELECT event_type, strftime(day, '%Y-%m-%d') AS day FROM (SELECT DISTINCT event_type, date_trunc('day', ts) AS day FROM events) QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY day DESC) <= 10")
+def snapshots_kept(spark, d):
+    """The ten newest days of each kind of event."""
+    days = table(spark, d, "events").select("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).distinct()
+    return render.newest(days, ["event_type"], "day", 10)
+
+
+@query(f"""
+WITH o AS (SELECT greatest((epoch(TIMESTAMP '2024-02-01') - floor(epoch(o_orderdate))) / 86400.0::DOUBLE, 0.0::DOUBLE) AS days, l.n FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey),
+v AS (SELECT w, h FROM (SELECT unnest([0, 1, 2, 3, 4]) AS w), (SELECT unnest([7, 30, 90, 365, 1095]) AS h))
+SELECT w, h, floor(avg(floor((w / 4.0::DOUBLE * pow(0.5::DOUBLE, days / h) + (1 - w / 4.0::DOUBLE) * least(1.0::DOUBLE, ln(1 + n::DOUBLE) / ln(51.0::DOUBLE))) * 10000 + 0.5) / 10000) * 10000 + 0.5) / 10000 AS score FROM o, v GROUP BY 1, 2
+""")
+def knob_sweep(spark, d):
+    """The mean score of all orders under 25 settings of the recency weight and the half-life."""
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    days = F.greatest((F.unix_timestamp(F.lit("2024-02-01").cast("timestamp")) - F.unix_timestamp("o_orderdate")) / 86400.0, F.lit(0.0))
+    o = table(spark, d, "orders").join(lines, "o_orderkey").select(days.alias("days"), "n")
+    settings = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.lit(h).alias("h")) for w in range(5) for h in (7, 30, 90, 365, 1095)])).alias("s")
+    v = o.select("days", "n", settings).select("days", "n", "s.w", "s.h")
+    often = F.least(F.lit(1.0), F.log1p(F.col("n").cast("double")) / F.log1p(F.lit(50.0)))
+    score = r4(F.col("w") / 4.0 * F.pow(F.lit(0.5), F.col("days") / F.col("h")) + (1 - F.col("w") / 4.0) * often)
+    return v.groupBy("w", "h").agg(r4(F.avg(score)).alias("score"))
