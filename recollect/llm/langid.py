@@ -28,7 +28,7 @@ from recollect.llm import common
 
 ORDERS, BITS = 3, 16
 SIZE = 1 << BITS
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 FACTORS = (2654435761, 2246822519, 3266489917)
 
 
@@ -41,7 +41,7 @@ class Model:
 
 
 def blocks(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]]:
-    """Blocks of about a million characters: (document of each piece, where it starts, features by order, n-grams of each piece).
+    """Blocks of about a quarter of a million characters: (document of each piece, where it starts, features by order, n-grams of each piece).
 
     A longer text is cut into pieces that share their edges' n-grams once.
     """

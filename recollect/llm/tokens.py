@@ -15,7 +15,7 @@ import numpy as np
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 #: Words in the newer half of a worker's cache; the older half holds as many.
-CACHE = 400_000
+CACHE = 250_000
 _ODD = re.compile(r"(?<![^\W_])[.,](?=[ \n])")
 #: Bytes that byte-level vocabularies write as code points from 256 on, in this order (fixed values).
 _MOVED = [*range(0, 33), *range(127, 161), 173]
