@@ -66,20 +66,31 @@ def following(ids: DataFrame) -> DataFrame:
 
 
 def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(uid, doc_id, next_id, text, edited): the last quarter of each text replaced by the next document's beginning.
+    """(uid, doc_id, next_id, text, edited) of rows with an id: the last quarter of each text replaced by the next document's beginning.
 
-    Texts are shuffled once by id; of each a quarter at most goes on to the document before it.
+    Texts are shuffled once by id (both uses read one exchange); of each a quarter at most goes
+    on to the document before it.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sizes = rows.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.length("text")).alias("chars"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sizes = rows.groupBy("doc_id").agg(F.max(F.length("text")).alias("chars"))
     next_of = common.materialize(sizes.join(following(sizes.select("doc_id")), "doc_id"), "next")
     before = next_of.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before_id"), F.floor(F.col("chars") / 4).cast("int").alias("k"))
-    joined = rows.hint("merge").join(before.hint("merge"), "doc_id", "left")
-    heads = joined.where("before_id is not null").select(F.col("before_id").alias("doc_id"), F.expr("left(text, k)").alias("head")).groupBy("doc_id").agg(F.min("head").alias("head"))
-    n = F.length("text")
-    return rows.hint("merge").join(next_of.select("doc_id", "next_id").hint("merge"), "doc_id", "left").join(heads.hint("merge"), "doc_id", "left").select(
-        "uid", "doc_id", "next_id", "text", F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))"), F.substring(F.coalesce("head", F.lit("")), F.lit(1), F.floor(n / 4).cast("int"))).alias("edited")
-    )
+    links = common.materialize(before.join(next_of.select("doc_id", "next_id"), "doc_id"), "links")
+    joined = rows.hint("merge").join(links.hint("merge"), "doc_id")
+    heads = joined.select(F.col("before_id").alias("doc_id"), F.expr("left(text, k)").alias("head")).groupBy("doc_id").agg(F.min("head").alias("head"))
+    quarter = F.floor(F.length("text") / 4).cast("int")
+    return joined.hint("merge").join(heads.hint("merge"), "doc_id").select(F.monotonically_increasing_id().alias("uid"), "doc_id", "next_id", "text", F.concat(kept("text"), F.substring("head", F.lit(1), quarter)).alias("edited"))
+
+
+def kept(text: str):
+    """A text without its last quarter."""
+    return F.substring(text, F.lit(1), F.length(text) - F.floor(F.length(text) / 4).cast("int"))
+
+
+def without_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same columns of rows that have no id, and so no next document."""
+    rows = docs.where(F.col(id_col).isNull()).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.col("doc_id").alias("next_id"), "text", kept("text").alias("edited"))
 
 
 def likeness(a, b):
@@ -105,14 +116,19 @@ def search(classes: DataFrame, queries: DataFrame, radius: int = RADIUS) -> Data
     return right.join(left, on).select("query", "fp", "n")
 
 
-def op2_simhash_blocks(spark, sf_dir: str) -> DataFrame:
-    """``n_within``: for every document whose id is divisible by 50, the other rows within three bits."""
-    rows = edited(common.documents(spark, sf_dir))
-    both = rows.select("uid", "doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("v")).select("*", "v.which", "v.text").drop("v")
+def both(rows: DataFrame) -> DataFrame:
+    """The fingerprints of each row's text and edited text (``fp``, ``edited_fp``), without another shuffle."""
+    texts = F.array(F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))
+    stacked = rows.select("uid", "doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode(texts).alias("v")).select("*", "v.which", "v.text").drop("v")
     keys = ["uid", "doc_id", "next_id", "n_chars", "edited_sha256"]
-    found = votes(both, [*keys, "which"], "text")
     pick = lambda i: F.max(F.when(F.col("which") == i, F.col("fp")))
-    found = common.materialize(found.groupBy(*keys).agg(pick(0).alias("fp"), pick(1).alias("edited_fp")), "fingerprints")
+    return votes(stacked, [*keys, "which"], "text").groupBy(*keys).agg(pick(0).alias("fp"), pick(1).alias("edited_fp"))
+
+
+def op2_simhash_blocks(spark, sf_dir: str) -> DataFrame:
+    """``n_within``: for every document whose id is divisible by 50, the other rows within three bits."""
+    docs = common.documents(spark, sf_dir)
+    found = common.materialize(both(edited(docs)).unionByName(both(without_id(docs))), "fingerprints")
     classes = found.groupBy("fp").agg(F.count("*").alias("n"))
     near = search(classes, found.where("doc_id % 50 = 0").select(F.col("fp").alias("query")).distinct()).groupBy("query").agg((F.sum("n") - 1).alias("n_within"))
     after = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("next_id")).agg(F.min("fp").alias("next_fp"))
