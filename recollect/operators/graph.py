@@ -25,22 +25,29 @@ def neighbours(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return adjacency(edges).join(ids.select(F.col("node").alias("src")), "src").select(F.col("src").alias("node"), F.col("dst").alias("neighbour"))
 
 
-def walk(adjacent: DataFrame, anchors: DataFrame, depth: int = 3) -> DataFrame:
-    """(query, node, hops, strength, path) of all nodes within ``depth`` of a query's anchors.
+def walk(adjacent: DataFrame, anchors: DataFrame, depth: int = 3, paths: bool = False) -> DataFrame:
+    """(query, node, hops, strength), with ``paths`` also path, of all nodes within ``depth`` of a query's anchors.
 
     A node is reached in the fewest hops, there with the greatest product of
-    strengths, there by the least path. One level is one equi-join, one anti-join and
-    one grouped minimum, for all queries at once; levels are written, so lineage stays short.
+    strengths, there by the least path. One level is one equi-join, one grouped maximum
+    that combines before its shuffle, and one anti-join, for all queries at once; levels
+    are written, so lineage stays short.
     """
     adjacent = materialize(adjacent, "adjacency")
-    start = anchors.select("query", "node").distinct().select("query", "node", F.lit(0).alias("hops"), F.lit(1.0).alias("strength"), F.array("node").alias("path"))
+    carried = [F.array("node").alias("path")] if paths else []
+    start = anchors.select("query", "node").distinct().select("query", "node", F.lit(0).alias("hops"), F.lit(1.0).alias("strength"), *carried)
     levels = [materialize(start, "level")]
     for hop in range(1, depth + 1):
         visited = reduce(DataFrame.unionByName, levels).select("query", F.col("node").alias("dst"))
         step = levels[-1].withColumnRenamed("node", "src").withColumnRenamed("strength", "before").join(adjacent, "src")
-        best = F.min(F.struct((-F.col("before") * F.col("strength")).alias("minus"), F.concat("path", F.array("dst")).alias("path"))).alias("best")
-        reached = step.join(visited, ["query", "dst"], "left_anti").groupBy("query", "dst").agg(best)
-        levels.append(materialize(reached.select("query", F.col("dst").alias("node"), F.lit(hop).alias("hops"), (-F.col("best.minus")).alias("strength"), F.col("best.path").alias("path")), "level"))
+        product = F.col("before") * F.col("strength")
+        if paths:
+            best = F.min(F.struct((-product).alias("minus"), F.concat("path", F.array("dst")).alias("path"))).alias("best")
+            reached = step.groupBy("query", "dst").agg(best).select("query", "dst", (-F.col("best.minus")).alias("strength"), F.col("best.path").alias("path"))
+        else:
+            reached = step.groupBy("query", "dst").agg(F.max(product).alias("strength"))
+        reached = reached.join(visited, ["query", "dst"], "left_anti").withColumnRenamed("dst", "node").withColumn("hops", F.lit(hop))
+        levels.append(materialize(reached.select(*start.columns), "level"))
     return reduce(DataFrame.unionByName, levels)
 
 

@@ -63,7 +63,7 @@ def bfs_walk(spark, d):
 @query(_walk_sql(NATION_ANCHORS, 2, f"SELECT query, node, hops, {R4('strength')} AS strength, array_to_string(path, '>') AS path FROM walked", path=True))
 def walk_paths(spark, d):
     """Two steps from every nation, with the path of each node."""
-    walked = graph.walk(graph.adjacency(views.edges(spark, d)), _nations(spark, d), 2)
+    walked = graph.walk(graph.adjacency(views.edges(spark, d)), _nations(spark, d), 2, paths=True)
     return walked.select("query", "node", "hops", r4(F.col("strength")).alias("strength"), F.array_join("path", ">").alias("path"))
 
 

@@ -18,7 +18,7 @@ def test_walk_against_levels(spark):
     edges = [(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}", round(rng.random(), 3)) for _ in range(70)]
     frame = spark.createDataFrame([(*e, "related_to") for e in edges], "source string, target string, weight double, edge_type string")
     anchors = spark.createDataFrame([("a", "n1"), ("a", "n2"), ("b", "n9")], "query string, node string")
-    got = {(r["query"], r["node"]): (r["hops"], round(r["strength"], 9), tuple(r["path"])) for r in graph.walk(graph.adjacency(frame), anchors, 3).collect()}
+    got = {(r["query"], r["node"]): (r["hops"], round(r["strength"], 9), tuple(r["path"])) for r in graph.walk(graph.adjacency(frame), anchors, 3, paths=True).collect()}
     best = {}
     for s, t, w in edges:
         for x, y in ((s, t), (t, s)):
@@ -36,6 +36,8 @@ def test_walk_against_levels(spark):
             seen |= {n: (hop, -s, p) for n, (s, p) in found.items()}
         expect |= {(query, n): (h, round(s, 9), p) for n, (h, s, p) in seen.items()}
     assert got == expect
+    plain = {(r["query"], r["node"]): (r["hops"], round(r["strength"], 9)) for r in graph.walk(graph.adjacency(frame), anchors, 3).collect()}
+    assert plain == {k: v[:2] for k, v in expect.items()}
 
 
 def test_reach_survives_cycles(spark):
