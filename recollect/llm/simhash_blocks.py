@@ -5,8 +5,8 @@ hash's bits and weighs as many characters as its words have, 24 at most, so
 frequent short words count little. 32 sums of 64-bit lanes hold the votes of all
 64 bits. Equal texts have equal fingerprints, and a fingerprint needs its text alone.
 
-The search cuts a fingerprint into ``radius + 3`` blocks. Two fingerprints within the
-radius agree on some three blocks, so a table for each choice of three, keyed by those
+The search cuts a fingerprint into ``radius + 2`` blocks. Two fingerprints within the
+radius agree on some two blocks, so a table for each choice of two, keyed by those
 blocks, finds all of them; a pair is taken in the first table that holds it, so
 nothing is found twice and nothing needs to be made distinct.
 
@@ -87,11 +87,11 @@ def likeness(a, b):
 
 
 def masks(radius: int) -> list[int]:
-    """The bits of each table's three blocks, as signed 64-bit integers."""
-    n = radius + 3
+    """The bits of each table's two blocks, as signed 64-bit integers."""
+    n = radius + 2
     cuts = [64 * i // n for i in range(n + 1)]
     blocks = [(1 << b) - (1 << a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return [m - (1 << 64) if (m := sum(c)) >> 63 else m for c in combinations(blocks, 3)]
+    return [m - (1 << 64) if (m := sum(c)) >> 63 else m for c in combinations(blocks, 2)]
 
 
 def search(classes: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
