@@ -3,12 +3,13 @@
 A suffix is kept only where a minimiser lies: the least hash among ``MIN_WORDS - GRAM + 1``
 neighbouring ``GRAM``-word grams. Every passage of ``MIN_WORDS`` words holds such a
 window, and equal passages keep equal positions. Of the kept suffixes those whose gram
-occurs again elsewhere are sorted by their words (as 32-bit hashes, compared as bytes); each is compared with
-its nearest neighbours of other texts in that order, and among suffixes of one gram also
-in the order of the words before it, and the match is extended right and left. Extents of ``MIN_WORDS`` and
-more are joined to passages. The sort deals by the whole suffix, the text and the
-position, so a passage that a third of all documents share spreads over many tasks; what
-meets at the borders of tasks is compared once more. Documents with equal texts are handled as one text and are
+occurs again elsewhere are sorted by their words (as 32-bit hashes, compared as bytes), so that suffixes of one
+gram stand together. Each suffix gives the hashes of the windows of ``MIN_WORDS`` words that hold its gram; a
+window that another text gives too is part of a passage, and overlapping windows are joined.
+The sort deals by the whole suffix, the text and the
+position, so a passage that a third of all documents share spreads over many tasks. Windows of a gram that one
+batch holds whole are settled there; those of a gram that a batch or task border cuts are also
+compared by their hash over all batches. Documents with equal texts are handled as one text and are
 passages as a whole.
 
 A passage counts if it occurs in another document; repeats within one document alone do
@@ -27,9 +28,9 @@ from pyspark.sql import functions as F
 
 from recollect.llm import common
 
-MIN_WORDS, GRAM, REACH = 50, 20, 56
-#: Rows of a sorted part that are compared again with the next batch.
-CARRY = 256
+MIN_WORDS, GRAM = 50, 20
+#: A gram of so many rows at most waits for the next batch; one of more is cut.
+HOLD = 1 << 14
 BLOCK = 1 << 21
 _P, _Q = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
@@ -136,93 +137,104 @@ def _seeds(min_words: int, gram: int):
     return run
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(right, left, text, position): the words from each position on, and those before it backwards."""
-    for batch in batches:
-        th, listed = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-        for first, texts in _blocks(_bytes(batch.column(1))):
-            hashes, begin = word_hashes(texts)
-            words = (hashes >> np.uint64(32)).astype(">u4")
-            forth, back, n = words.tobytes(), words[::-1].tobytes(), len(words)
-            rows = [(th[first + d], p, a + p, a, b) for d, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)) for p in listed[first + d]]
-            for i in range(0, len(rows), 4096):
-                part = rows[i : i + 4096]
-                right = [forth[4 * at : 4 * min(at + REACH, b)] for _, _, at, _, b in part]
-                left = [back[4 * (n - at) : 4 * min(n - at + REACH, n - a)] for _, _, at, a, _ in part]
-                yield pa.RecordBatch.from_arrays([pa.array(right, pa.binary()), pa.array(left, pa.binary()), pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64())], ["right", "left", "th", "pos"])
+def _suffixes(min_words: int, gram: int):
+    before = min_words - gram
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(right, left, text, position): the words from each position on, and those before it backwards, as far as a window reaches."""
+        for batch in batches:
+            th, listed = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for first, texts in _blocks(_bytes(batch.column(1))):
+                hashes, begin = word_hashes(texts)
+                words = (hashes >> np.uint64(32)).astype(">u4")
+                forth, back, n = words.tobytes(), words[::-1].tobytes(), len(words)
+                rows = [(th[first + d], p, a + p, a, b) for d, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)) for p in listed[first + d]]
+                for i in range(0, len(rows), 4096):
+                    part = rows[i : i + 4096]
+                    right = [forth[4 * at : 4 * min(at + min_words, b)] for _, _, at, _, b in part]
+                    left = [back[4 * (n - at) : 4 * min(n - at + before, n - a)] for _, _, at, a, _ in part]
+                    yield pa.RecordBatch.from_arrays([pa.array(right, pa.binary()), pa.array(left, pa.binary()), pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64())], ["right", "left", "th", "pos"])
 
-def _matrix(column: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return run
+
+
+def _matrix(column: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     lens = np.array([len(x) // 4 for x in column])
-    return np.frombuffer(b"".join(x.ljust(4 * REACH, b"\0") for x in column), ">u4").reshape(-1, REACH), lens
-
-
-def _common(words: np.ndarray, lens: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Equal leading words of rows i and j."""
-    differ = words[i] != words[j]
-    first = np.where(differ.any(axis=1), differ.argmax(axis=1), REACH)
-    return np.minimum(first, np.minimum(lens[i], lens[j]))
-
-
-def _neighbours(order: np.ndarray, th: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row, nearest row of another text before or after it in ``order``)."""
-    t = th[order]
-    cut = np.flatnonzero(np.diff(t)) + 1
-    starts, ends = np.r_[0, cut], np.r_[cut, len(t)]
-    run = np.repeat(np.arange(len(starts)), ends - starts)
-    before, after = starts[run] - 1, ends[run]
-    i, j = before >= 0, after < len(t)
-    return np.r_[order[i], order[j]], np.r_[order[before[i]], order[after[j]]]
-
-
-def extents(rows: list[tuple], min_words: int, gram: int) -> list[tuple[int, int, int]]:
-    """(text, first word, end) of every match of ``min_words`` and more among suffixes sorted by their words."""
-    right, rlen = _matrix([r[0] for r in rows])
-    left, llen = _matrix([r[1] for r in rows])
-    th, pos = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
-    order = np.arange(len(rows))
-    run = np.cumsum(np.r_[0, (right[1:, :gram] != right[:-1, :gram]).any(axis=1)])
-    behind = np.argsort(np.ascontiguousarray(left).view(f"S{4 * REACH}").ravel(), kind="stable")
-    behind = behind[np.argsort(run[behind], kind="stable")]
-    pairs = [_neighbours(order, th), _neighbours(behind, th)]
-    i, j = np.r_[pairs[0][0], pairs[1][0]], np.r_[pairs[0][1], pairs[1][1]]
-    near = run[i] == run[j]
-    i, j = i[near], j[near]
-    forth, back = _common(right, rlen, i, j), _common(left, llen, i, j)
-    good = (forth >= 1) & (forth + back >= min_words)
-    found = {(th[x], pos[x] - b, pos[x] + f) for x, f, b in zip(i[good].tolist(), forth[good].tolist(), back[good].tolist(), strict=True)}
-    return sorted((int(t), int(a), int(b)) for t, a, b in found)
-
-
-def _edges(rows: list[tuple]) -> list[tuple]:
-    """The first two and last two rows of different texts."""
-    ends = []
-    for side in (rows, rows[::-1]):
-        ends.append(side[0])
-        ends += [r for r in side if r[2] != side[0][2]][:1]
-    return list(dict.fromkeys(ends))
-
-
-SORTED = "right binary, left binary, th long, start long, end long"
-
-
-def _compare(min_words: int, gram: int, edges: bool):
+    return np.frombuffer(b"".join(x.ljust(4 * width, b"\0") for x in column), ">u4").reshape(-1, width), lens
+
+
+def windows(rows: list[tuple], min_words: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word, hash) of every window of ``min_words`` that holds a row's gram."""
+    before = min_words - gram
+    right, rlen = _matrix([r[0] for r in rows], min_words)
+    left, llen = _matrix([r[1] for r in rows], before) if before else (np.zeros((len(rows), 0), ">u4"), np.zeros(len(rows), int))
+    strip = np.concatenate([left[:, ::-1], right], axis=1).astype(np.uint64) + np.uint64(1)
+    up, down = _power(_P, before + min_words)
+    sums = np.concatenate([np.zeros((len(rows), 1), np.uint64), np.cumsum(strip * up, axis=1, dtype=np.uint64)], axis=1)
+    at = np.arange(before + 1)
+    hashes = _mix((sums[:, at + min_words] - sums[:, at]) * down[at])
+    row, first = np.nonzero((before - at <= llen[:, None]) & (at + gram <= rlen[:, None]))
+    return row, np.array([r[3] for r in rows])[row] - before + first, hashes[row, first]
+
+
+def shared(rows: list[tuple], min_words: int, gram: int, cut: np.ndarray) -> list[tuple]:
+    """(null, text, first word, end) of what rows of two texts have in common, and of the rows in ``cut`` (hash, text, first word, null) for the other batches.
+
+    Windows that are found here stand for all their rows: the least and the greatest text, without a first word.
+    """
+    row, start, key = windows(rows, min_words, gram)
+    if not len(row):
+        return []
+    th = np.array([r[2] for r in rows])[row]
+    order = np.lexsort((th, key))
+    row, start, key, th = row[order], start[order], key[order], th[order]
+    edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    last = np.r_[edge[1:], len(key)] - 1
+    two = th[edge] != th[last]
+    here = np.repeat(two, last - edge + 1)
+    low, high = np.full(len(rows), np.iinfo(np.int64).max), np.full(len(rows), -1)
+    np.minimum.at(low, row[here], start[here])
+    np.maximum.at(high, row[here], start[here])
+    some = np.flatnonzero(high >= 0).tolist()
+    out: set[tuple] = {(None, rows[i][2], a, b + min_words) for i, a, b in zip(some, low[some].tolist(), high[some].tolist(), strict=True)}
+    named, opened = key.view(np.int64), cut[row]
+    alone = np.flatnonzero(opened & ~here)
+    out.update(zip(named[alone].tolist(), th[alone].tolist(), start[alone].tolist(), [None] * len(alone), strict=True))
+    for ends in (edge, last):
+        known = ends[two & opened[edge]]
+        out.update((k, t, None, None) for k, t in zip(named[known].tolist(), th[known].tolist(), strict=True))
+    return list(out)
+
+
+SHARED = "key long, th long, start long, end long"
+
+
+def _compare(min_words: int, gram: int):
+    def found(rows: list[tuple], head: bool, tail: bool) -> pa.RecordBatch:
+        """``head``, ``tail``: the first or last gram's rows may go on in another batch or task."""
+        grams = [r[0][: 4 * gram] for r in rows]
+        cut = np.array([head and g == grams[0] or tail and g == grams[-1] for g in grams])
+        got = shared(rows, min_words, gram, cut)
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in got], pa.int64()) for k in range(4)], ["key", "th", "start", "end"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, ends = [], []
+        held, head = [], True
         for batch in batches:
             rows = held + list(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True))
             if not rows:
                 continue
-            if edges:
-                ends = _edges(rows)[:2] if not ends else ends
-            found = extents(rows, min_words, gram)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.binary()), pa.nulls(len(found), pa.binary()), *[pa.array([r[k] for r in found], pa.int64()) for k in range(3)]], ["right", "left", "th", "start", "end"])
-            last = rows[-1][2]
-            other = next((r for r in reversed(rows[:-CARRY]) if r[2] != last), None)
-            held = ([other] if other else []) + rows[-CARRY:]
-        if edges and held:
-            ends = list(dict.fromkeys([*ends, *_edges(held)]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in ends], pa.binary()), pa.array([r[1] for r in ends], pa.binary()), pa.array([r[2] for r in ends], pa.int64()), pa.array([r[3] for r in ends], pa.int64()), pa.nulls(len(ends), pa.int64())], ["right", "left", "th", "start", "end"])
+            last = rows[-1][0][: 4 * gram]
+            begin = next((i + 1 for i in range(len(rows) - 1, -1, -1) if rows[i][0][: 4 * gram] != last), 0)
+            if len(rows) - begin > HOLD:
+                yield found(rows, head, True)
+                held, head = [], True
+            else:
+                if begin:
+                    yield found(rows[:begin], head, False)
+                    head = False
+                held = rows[begin:]
+        if held:
+            yield found(held, head, True)
 
     return run
 
@@ -248,13 +260,14 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     chosen = places.join(groups, "th").select("th", "id", "at")
     keyed = rows.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).drop("doc_id")
     picked = keyed.join(chosen, ["th", "id"]).dropDuplicates(["th", "id"]).select("th", "text", "at")
-    suffixes = picked.mapInArrow(_suffixes, "right binary, left binary, th long, pos long")
+    suffixes = picked.mapInArrow(_suffixes(min_words, gram), "right binary, left binary, th long, pos long")
     order = ["right", "left", "th", "pos"]
-    compared = common.materialize(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_compare(min_words, gram, True), SORTED), "matches")
-    borders = compared.where("end is null").select("right", "left", "th", F.col("start").alias("pos")).coalesce(1).sortWithinPartitions(*order)
-    extra = borders.mapInArrow(_compare(min_words, gram, False), SORTED)
+    compared = common.materialize(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_compare(min_words, gram), SHARED), "matches")
+    cut = compared.where("key is not null")
+    across = common.materialize(cut.groupBy("key").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a < b").select("key"), "across")
+    extra = cut.where("start is not null").join(across, "key").select("th", "start", (F.col("start") + min_words).alias("end"))
     whole = seeds.where("seed is null").select("th", F.col("pos").alias("words")).dropDuplicates(["th"]).join(groups.where("copies > 1"), "th").where(F.col("words") >= min_words).select("th", F.lit(0).cast("long").alias("start"), F.col("words").alias("end"))
-    spans = compared.where("end is not null").unionByName(extra).select("th", "start", "end").union(whole)
+    spans = compared.where("key is null").select("th", "start", "end").unionByName(extra).union(whole)
     found = islands(spans, ["th"])
     return names.join(found, "th").select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("start")).alias("n_words"))
 

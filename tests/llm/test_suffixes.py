@@ -73,3 +73,34 @@ def test_every_window_holds_a_minimiser():
 
 def test_empty(spark):
     assert suffixes.repeated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_documents_equal_brute_force(spark, sf):
+    docs = common.documents(spark, sf)
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    assert sorted((tuple(r) for r in suffixes.repeated(docs).collect()), key=str) == brute(rows)
+
+
+def test_line_in_most_documents(spark):
+    """45 words in 12,000 documents; pairs share 8 words before or after them, and what stands on the other side parts them."""
+    rng = random.Random(3)
+    some = lambda n: " ".join(f"{rng.randrange(1 << 40):x}" for _ in range(n))
+    line, rows = some(45), []
+    for i in range(6000):
+        near = some(8)
+        for k in range(2):
+            planted = i % 200 == 0
+            before = f"{some(10)} {near if planted and i % 400 else some(8)}"
+            after = f"{near if planted and not i % 400 else some(8)} {some(10)}"
+            rows.append((2 * i + k, f"{before} {line} {after}"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    expect = brute(rows)
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for parts in (1, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = sorted((tuple(r) for r in suffixes.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()), key=str)
+            assert len(got) == 60 and got == expect
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
