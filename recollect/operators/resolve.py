@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recollect.functions.similarity import ratio
 from recollect.functions.text import normalize_label
+from recollect.session import materialize
 
 
 def dedup_exact(nodes: DataFrame) -> DataFrame:
@@ -35,40 +36,61 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, below: int) -> DataFrame:
     return near.withColumn("distance", F.levenshtein("a", "b", below)).where((F.col("distance") >= 0) & (F.col("distance") < below))
 
 
+def alike_pairs(labels: DataFrame, below: int, least: float) -> DataFrame:
+    """(before, after) of the nodes of labels (node_type, norm, node) that match: of one type, within ``below`` edits or ``least`` alike.
+
+    Labels ``least`` alike share matching characters in order, and so bigrams: at least ``share`` times
+    their lengths, less one. Each label is keyed by its rarest bigrams, as many as leave fewer than that over; those
+    too short to have to share one are within a few edits.
+    """
+    share = 1.5 * least - 1
+    if share <= 0:
+        raise ValueError("least must be above 2/3")
+    labels = materialize(labels, "labels")
+    words = labels.select("norm").distinct()
+    reach = max(below, int((1 - least) / share + 1e-9) + 1)
+    close = fuzzy_pairs(words.select(F.col("norm").alias("label")), words.select(F.col("norm").alias("label")), reach).select("a", "b")
+    n = F.length("norm")
+    two = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(F.col("norm"), i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    told = F.transform("two", lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice("two", F.lit(1), i), lambda h: h == g)).cast("string")))
+    grams = materialize(words.withColumn("two", two).select("norm", n.alias("n"), told.alias("grams")), "grams")
+    each = grams.select("norm", "n", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    ranked = each.join(each.groupBy("gram").agg(F.count("*").alias("uses")), "gram").withColumn("rank", F.row_number().over(Window.partitionBy("norm").orderBy("uses", "gram")))
+    fewest = F.greatest(F.lit(1), F.ceil(share * F.col("n") * (1 + least / (2 - least)) - 1 - 1e-9))
+    keys = ranked.where(F.col("rank") <= F.col("size") - fewest + 1).select("norm", "n", "gram")
+    left, right = keys.select(F.col("norm").alias("a"), F.col("n").alias("na"), "gram"), keys.select(F.col("norm").alias("b"), F.col("n").alias("nb"), "gram")
+    both = F.col("na") + F.col("nb")
+    met = left.join(right, "gram").where((2 * F.least("na", "nb") >= least * both - 1e-9) & (F.col("a") != F.col("b"))).select("a", "b").distinct()
+    full = lambda c: grams.select(F.col("norm").alias(c), F.col("n").alias(f"n{c}"), F.col("grams").alias(f"g{c}"))
+    met = met.join(full("a"), "a").join(full("b"), "b").where(F.size(F.array_intersect("ga", "gb")) >= share * both - 1 - 1e-9).select("a", "b")
+    found = materialize(close.where("a <> b").union(met).distinct(), "near")
+    side = lambda c, name: labels.select("node_type", F.col("norm").alias(c), F.col("node").alias(name))
+    ordered = found.join(side("a", "before"), "a").join(side("b", "after"), ["node_type", "b"]).where("before < after")
+    near = F.levenshtein("a", "b") < below
+    return ordered.withColumn("near", near).where(F.when(F.col("near"), True).otherwise(ratio("a", "b") >= least)).select("before", "after")
+
+
 def dedup_greedy(nodes: DataFrame, below: int = 5, least: float = 0.75) -> DataFrame:
-    """(node, canonical): replays one node after another, of each type and first letter, against those kept so far.
+    """(node, canonical): as if one node after another, of each type, were held against those kept so far.
 
-    A block's nodes come in order of their id; a kept node is a match if its label is
-    equal when normalised, within ``below`` edits, or ``least`` alike.
+    Nodes come in order of their id; the first kept node is a match if its label is
+    equal when normalised, within ``below`` edits, or ``least`` alike. The matching pairs are found first; then, round by
+    round, nodes without an earlier undecided match are kept and their later matches are merged. Contexts and nodes
+    without a label stay themselves.
     """
-    from difflib import SequenceMatcher
-
-    def edits(a: str, b: str) -> int:
-        if abs(len(a) - len(b)) >= below:
-            return below
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            before, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-        return row[-1]
-
-    def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, kept = None, {}
-        for frame in frames:
-            out = []
-            for node, key, norm in zip(frame["node"], frame["block"], frame["norm"], strict=True):
-                if key != block:
-                    block, kept = key, {}
-                found = kept.get(norm) or next((n for k, n in kept.items() if edits(k, norm) < below or SequenceMatcher(None, k, norm).ratio() >= least), None)
-                if found is None:
-                    kept[norm] = found = node
-                out.append(found)
-            yield pd.DataFrame({"node": frame["node"], "canonical": out})
-
-    keyed = nodes.where("node_type <> 'context'").select("node", normalize_label("label").alias("norm"), F.concat_ws(":", "node_type", F.substring(normalize_label("label"), 1, 1)).alias("block"))
-    done = keyed.repartition("block").sortWithinPartitions("block", "node").mapInPandas(replay, "node string, canonical string")
-    return done.unionByName(nodes.where("node_type = 'context'").select("node", F.col("node").alias("canonical")))
+    keyed = nodes.where("node_type <> 'context'").select("node", "node_type", normalize_label("label").alias("norm")).where("norm is not null")
+    labels = keyed.groupBy("node_type", "norm").agg(F.min("node").alias("first"))
+    pairs = materialize(alike_pairs(labels.withColumnRenamed("first", "node"), below, least), "pairs")
+    merged, left = [pairs.select(F.col("after").alias("node")).limit(0)], pairs
+    while not left.isEmpty():
+        kept = left.select("before").distinct().join(left.select(F.col("after").alias("before")), "before", "left_anti")
+        merged.append(materialize(left.join(kept, "before").select(F.col("after").alias("node")).distinct(), "merged"))
+        gone = lambda c: merged[-1].withColumnRenamed("node", c)
+        left = materialize(left.join(gone("after"), "after", "left_anti").join(gone("before"), "before", "left_anti").select("before", "after"), "left")
+    lost = reduce(DataFrame.union, merged)
+    into = pairs.join(lost.withColumnRenamed("node", "before"), "before", "left_anti").groupBy(F.col("after").alias("first")).agg(F.min("before").alias("into"))
+    names = labels.join(into, "first", "left").select("node_type", "norm", F.coalesce("into", "first").alias("canonical"))
+    return nodes.withColumn("norm", normalize_label("label")).join(names, ["node_type", "norm"], "left").select("node", F.coalesce("canonical", "node").alias("canonical"))
 
 
 def remap(edges: DataFrame, names: DataFrame) -> DataFrame:

@@ -107,6 +107,40 @@ def test_fuzzy_pairs_are_complete(spark):
     assert got == {(a, b) for a in labels for b in labels if lev(a, b) < 3}
 
 
+def test_dedup_greedy_replays_whole_types(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+
+    def lev(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    labels = ["cat", "bat", "zebra crossing", "the zebra crossings", None, ""]
+    for _ in range(60):
+        base = "".join(rng.choices("abcdefghij ", k=rng.randint(6, 40)))
+        for _ in range(3):
+            at = rng.randrange(len(base))
+            labels.append(rng.choice(["", "Xy", "the "]) + base[:at] + "".join(rng.choices("qrstuv", k=rng.randint(0, 6))) + base[at + rng.randint(0, 4) :])
+    rows = [(f"n{i:03}", ("topic", "entity", "context")[rng.choice((0, 0, 0, 1, 1, 2)) if i > 3 else 0], x) for i, x in enumerate(labels)]
+    df = spark.createDataFrame(rows, "node string, node_type string, label string").repartition(3)
+    norm = {r["node"]: r["norm"] for r in df.select("node", resolve.normalize_label("label").alias("norm")).collect()}
+    expect, kept = {}, {}
+    for node, kind, _ in rows:
+        x, seen = norm[node], kept.setdefault(kind, {})
+        if kind == "context" or x is None:
+            expect[node] = node
+            continue
+        found = seen.get(x) or next((k for y, k in seen.items() if lev(y, x) < 5 or SequenceMatcher(None, y, x).ratio() >= 0.75), None)
+        expect[node] = found or seen.setdefault(x, node)
+    got = {r["node"]: r["canonical"] for r in resolve.dedup_greedy(df).collect()}
+    assert got == expect and got["n001"] == "n000" and sum(k != v for k, v in got.items()) > 20
+
+
 def test_claims(spark):
     said = ["I love tea", "I am sober", None, "", "I feel happy, and I was born in Oslo", "My favourite colour is red"]
     got = govern.classify(spark.createDataFrame([(i, t) for i, t in enumerate(said)], "id int, text string")).orderBy("id").collect()
