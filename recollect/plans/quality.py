@@ -112,10 +112,10 @@ def stream_ingest(spark, d):
 
 @query()
 def stream_signal_counts(spark, d):
-    """Daily counts of signals by a stream; a window is out once the watermark has passed it."""
+    """Daily counts of signals by a stream, the newest days too."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    return ingest.run_once(spark, ingest.signal_windows(stream), "signals")
+    return ingest.run_windows(spark, ingest.signal_windows(stream), "signals", ["start", "event_type"])
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, count(*) FILTER (WHERE value > 50) AS used FROM events GROUP BY 1, 2")

@@ -44,3 +44,12 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert __spark_entry__.queries().keys() >= QUERIES.keys() and __spark_entry__.oracle_sql().keys() <= __spark_entry__.queries().keys()
+
+
+def test_stream_counts_every_window(spark, sf):
+    from pyspark.sql import functions as F
+
+    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    batch = events.groupBy(F.date_trunc("day", "ts").alias("start"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    expect, got = ({(r["start"], r["event_type"]): (r["n"], round(r["total"], 6)) for r in df.collect()} for df in (batch, QUERIES["stream_signal_counts"](spark, sf)))
+    assert got == expect
