@@ -113,20 +113,22 @@ def propagate(adjacent: DataFrame, nodes: DataFrame, sources: DataFrame, hops: i
     return reduce(DataFrame.unionByName, raised).groupBy("node").agg(F.max("confidence").alias("confidence"))
 
 
-def communities(adjacent: DataFrame, rounds: int = 8) -> DataFrame:
+def communities(adjacent: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(node, community) by weighted label propagation: the neighbour label of greatest weight, ties to the least.
 
-    A hub's votes are summed before they are shuffled.
+    Runs until no label moves; labels only fall, so it ends. A hub's votes are summed before they are shuffled.
     """
     adjacent = materialize(adjacent, "adjacency")
     labels = materialize(adjacent.groupBy(F.col("src").alias("node")).agg(F.min("src").alias("community")), "labels")
-    for _ in range(rounds):
+    for _ in range(max_rounds):
         votes = adjacent.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy("src", "community").agg(F.sum("strength").alias("weight"))
         best = votes.groupBy(F.col("src").alias("node")).agg(F.min(F.struct((-F.col("weight")).alias("w"), "community")).alias("b")).select("node", F.col("b.community").alias("next"))
         moved = labels.join(best, "node").select("node", F.least("community", "next").alias("community"), (F.col("next") < F.col("community")).alias("moved"))
         labels = materialize(moved, "labels")
         if labels.where("moved").isEmpty():
             break
+    else:
+        raise RuntimeError(f"labels still move after {max_rounds} rounds")
     return labels.select("node", "community")
 
 

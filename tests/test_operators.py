@@ -56,6 +56,14 @@ def test_communities_split_cliques(spark):
     assert sorted(map(len, groups.values())) == [6, 6]
 
 
+def test_communities_run_until_no_label_moves(spark):
+    pairs = [(f"n{i:02}", f"n{i + 1:02}", 1.0) for i in range(13)]
+    adj = graph.adjacency(spark.createDataFrame(pairs, "source string, target string, weight double"))
+    assert {r["community"] for r in graph.communities(adj).collect()} == {"n00"}
+    with pytest.raises(RuntimeError):
+        graph.communities(adj, max_rounds=3)
+
+
 @pytest.mark.parametrize(
     ("sentence", "start", "end", "granularity"),
     [
