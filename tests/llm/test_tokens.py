@@ -59,6 +59,96 @@ def test_packing_is_exact(spark, rows, ids, capacity, bucket, few):
     check_packing(packing.pack(docs, capacity=capacity, bucket=bucket, few=few).collect(), ids, capacity)
 
 
+@pytest.mark.parametrize("counts", [{1500: 1000}, {700: 1000}, {1100: 500, 900: 500}, {1500: 100, 600: 100, 37: 10}, {2048: 3, 2047: 2}, {5: 3}, {1: 5000}])
+def test_every_window_is_filled_by_the_nearest_multiset(counts):
+    patterns, rest = packing.plan(counts)
+    left, stock, windows = dict(counts), 0, 0
+    for used, times, slack, cut in patterns:
+        largest = max(x for x, n in left.items() if n)
+        assert times > 0 and largest in used and sum(x * n for x, n in used.items()) + slack == packing.WINDOW
+        others = {x: n - (x == largest) for x, n in left.items()}
+        assert packing.fill(others, packing.WINDOW - largest)[1] == slack
+        for x, n in used.items():
+            left[x] -= n * times
+        for x, n in cut.items():
+            left[x] -= n
+            stock += x * n
+        stock -= slack * times
+        windows += times
+        assert stock >= 0 and min(left.values()) >= 0
+    assert {x: n for x, n in left.items() if n} == rest
+    total = sum(x * n for x, n in counts.items())
+    assert windows == total // packing.WINDOW and stock + sum(x * n for x, n in rest.items()) == total % packing.WINDOW
+
+
+def test_random_histograms_keep_every_token():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        capacity = int(rng.integers(2, 90))
+        counts = {int(x): int(n) for x, n in zip(rng.integers(1, capacity + 1, 6), rng.integers(1, 60, 6), strict=True)}
+        where, slots = packing.places(*packing.plan(counts, capacity), capacity)
+        at = {}
+        for x, n in counts.items():
+            rank = np.arange(n)
+            begin, stream, first, copies, offset = where[x][:, np.searchsorted(where[x][0], rank, "right") - 1]
+            for r in rank[stream == 0]:
+                nth, slot = divmod(int(r - begin[r]), int(copies[r]))
+                at.setdefault(int(first[r]) + nth, []).append((int(offset[r]) + slot * x, x))
+            held = (first + (rank - begin) * x)[stream == 1]
+            done = np.zeros(len(held), np.int64)
+            for i, sequence, into, shift, size in packing.cuts(held, x, slots):
+                assert (done[i] == shift).all()
+                done[i] += size
+                for s, o, k in zip(sequence.tolist(), into.tolist(), size.tolist(), strict=True):
+                    at.setdefault(s, []).append((o, k))
+            assert (done == x).all()
+        sizes = []
+        for found in at.values():
+            found.sort()
+            assert [o for o, _ in found] == [0, *itertools.accumulate(k for _, k in found)][:-1]
+            sizes.append(sum(k for _, k in found))
+        assert all(s == capacity or s & (s - 1) == 0 for s in sizes)
+        assert sizes.count(capacity) >= sum(x * n for x, n in counts.items()) // capacity
+
+
+def test_cut_windows_on_documents(spark):
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
+    rows = [(i, " ".join(["one two three"] * 11)) for i in range(150)] + [(1000 + i, "four five " * 20) for i in range(37)]
+    ids = {d: library.encode(t, add_special_tokens=False).ids + [1] for d, t in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for few in (10_000, 0):
+        check_packing(packing.pack(docs, capacity=50, bucket=20, few=few).collect(), ids, 50)
+
+
+def test_another_vocabulary_is_left_to_the_library(spark, rows, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    ids = {d: library.encode(t or "", add_special_tokens=False).ids + [1] for d, t in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    check_packing(packing.pack(docs, vocabulary=path).collect(), ids, packing.WINDOW)
+    got = {r["doc_id"]: r["ids_crc32"] for r in token_files.read(token_files.write(docs, f"{tmp_path}/b", vocabulary=path)).collect()}
+    assert got == {d: crc(x) for d, x in ids.items()}
+
+
+def test_blocks_and_a_small_cache_change_nothing(rows, ids, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 7)
+    monkeypatch.setattr(tokens, "BLOCK", 100)
+    flat, sizes = tokens.Encoder(public_tokenizers.path(tokens.VOCABULARY)).encode([t for _, t in rows])
+    assert flat.tolist() == [i for d, _ in rows for i in ids[d]] and sizes.tolist() == [len(ids[d]) for d, _ in rows]
+
+
+def test_files_with_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, "z"), (None, None), (3, "b"), (3, "a"), (3, "a"), (-5, "c d")]
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = token_files.read(token_files.write(docs, f"{tmp_path}/n"), block=2).orderBy("start").collect()
+    order = [(None, None), (None, "z"), (-5, "c d"), (3, "a"), (3, "a"), (3, "b")]
+    found = [library.encode(t or "", add_special_tokens=False).ids + [1] for _, t in order]
+    assert [r["doc_id"] for r in got] == [d for d, _ in order]
+    assert [r["ids_crc32"] for r in got] == [crc(x) for x in found]
+    assert [r["start"] for r in got] == [0, *itertools.accumulate(len(x) for x in found)][:-1]
+
+
 def test_packing_equal_lengths_and_repeats(spark):
     docs = spark.createDataFrame([(i % 40, "one two three four five six") for i in range(80)] + [(None, "x")], "doc_id long, text string")
     got = packing.pack(docs, capacity=16).collect()
