@@ -66,20 +66,23 @@ def following(ids: DataFrame) -> DataFrame:
 
 
 def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(uid, doc_id, next_id, text, edited): the last quarter of each text replaced by the next document's beginning.
+    """(uid, key, doc_id, next_id, text, edited): the last quarter of each text replaced by the next document's beginning.
 
-    Texts are shuffled once by id; of each a quarter at most goes on to the document before it.
+    Texts are shuffled once by id, and both joins read that exchange (their inputs have the same columns and no filter); of
+    each text a quarter at most goes on to the document before it. Rows without an id are keyed by their row.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sizes = rows.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.length("text")).alias("chars"))
+    uid = F.monotonically_increasing_id()
+    rows = docs.select(uid.alias("uid"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("_"), uid.cast("string"))).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).hint("merge")
+    sizes = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.coalesce(F.length(text_col), F.lit(0))).alias("chars"))
     next_of = common.materialize(sizes.join(following(sizes.select("doc_id")), "doc_id"), "next")
-    before = next_of.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before_id"), F.floor(F.col("chars") / 4).cast("int").alias("k"))
-    joined = rows.hint("merge").join(before.hint("merge"), "doc_id", "left")
-    heads = joined.where("before_id is not null").select(F.col("before_id").alias("doc_id"), F.expr("left(text, k)").alias("head")).groupBy("doc_id").agg(F.min("head").alias("head"))
-    n = F.length("text")
-    return rows.hint("merge").join(next_of.select("doc_id", "next_id").hint("merge"), "doc_id", "left").join(heads.hint("merge"), "doc_id", "left").select(
-        "uid", "doc_id", "next_id", "text", F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))"), F.substring(F.coalesce("head", F.lit("")), F.lit(1), F.floor(n / 4).cast("int"))).alias("edited")
-    )
+    before = next_of.select(F.col("next_id").cast("string").alias("key"), F.col("doc_id").cast("string").alias("before"), F.floor(F.col("chars") / 4).cast("int").alias("k"))
+    begin = F.struct(F.expr("left(text, k)").alias("head"), "uid").alias("begin")
+    heads = rows.join(before.hint("merge"), "key").select(F.col("before").alias("key"), begin).groupBy("key").agg(F.min("begin").getField("head").alias("head"))
+    named = next_of.select(F.col("doc_id").cast("string").alias("key"), "doc_id", "next_id")
+    joined = rows.join(named.hint("merge"), "key", "left").join(heads.hint("merge"), "key", "left")
+    quarter = F.floor(F.length("text") / 4).cast("int")
+    left = F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))")
+    return joined.select("uid", "key", "doc_id", "next_id", "text", F.concat(left, F.substring(F.coalesce("head", F.lit("")), F.lit(1), quarter)).alias("edited"))
 
 
 def likeness(a, b):
@@ -108,8 +111,8 @@ def search(classes: DataFrame, queries: DataFrame, radius: int = RADIUS) -> Data
 def op2_simhash_blocks(spark, sf_dir: str) -> DataFrame:
     """``n_within``: for every document whose id is divisible by 50, the other rows within three bits."""
     rows = edited(common.documents(spark, sf_dir))
-    both = rows.select("uid", "doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("v")).select("*", "v.which", "v.text").drop("v")
-    keys = ["uid", "doc_id", "next_id", "n_chars", "edited_sha256"]
+    both = rows.select("uid", "key", "doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("v")).select("*", "v.which", "v.text").drop("v")
+    keys = ["uid", "key", "doc_id", "next_id", "n_chars", "edited_sha256"]
     found = votes(both, [*keys, "which"], "text")
     pick = lambda i: F.max(F.when(F.col("which") == i, F.col("fp")))
     found = common.materialize(found.groupBy(*keys).agg(pick(0).alias("fp"), pick(1).alias("edited_fp")), "fingerprints")

@@ -1,9 +1,33 @@
 import hashlib
 import itertools
 
+import re
+
+import xxhash
+
 from recollect.llm import common, simhash_blocks
 
 
+def plain(text):
+    """The fingerprint over Python integers: chained XXH64 of word pairs, weights, strict majority."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if w]
+    votes, total = [0] * 64, 0
+    for a, b in itertools.zip_longest(words, words[1:]) if len(words) < 2 else [*zip(words, words[1:]), (words[-1], None)]:
+        h = xxhash.xxh64_intdigest(a.encode(), 42)
+        h = xxhash.xxh64_intdigest(b.encode(), h) if b is not None else h
+        weight = min(len(a) + len(b or ""), 24)
+        total += weight
+        for bit in range(64):
+            votes[bit] += weight * (h >> bit & 1)
+    return sum(1 << bit for bit in range(64) if 2 * votes[bit] > total)
+
+
+def test_fingerprints_against_plain_python(spark, sf):
+    rows = [(r["doc_id"], r["text"]) for r in common.documents(spark, sf).select("doc_id", "text").collect()] + [(10**6 + i, t) for i, t in enumerate(["", None, "one", "One two", "a b a b a b", " lead\ttab\x0bx ", "ÀÉ ß 字"])]
+    got = {r["doc_id"]: r["fingerprint"] % (1 << 64) for r in simhash_blocks.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: plain(t) for d, t in rows}
+
+
 def test_contract_columns(spark, sf, monkeypatch):
     got = simhash_blocks.op2_simhash_blocks(spark, sf).toPandas().set_index("doc_id").sort_index()
     rows = sorted(tuple(r) for r in common.documents(spark, sf).select("doc_id", "text").collect())
