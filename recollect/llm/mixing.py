@@ -8,8 +8,8 @@ A rate below one leaves some documents out: that is the sampling asked for.
 
 By default a source's target weight is the square root of its size. Null sources form one source
 of their own and stay null; null text has size 0; a source of size 0 has rate 1. Rows with equal ids are copied
-equally often. An empty table gives no rows. Other columns are carried along,
-and those named ``copy`` or ``shuffle_key`` are replaced.
+equally often. An empty table gives no rows. Other columns, whatever their names, are carried along unchanged,
+but those named ``copy`` or ``shuffle_key`` are replaced.
 """
 
 from __future__ import annotations
@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 from recollect.llm import common
 
 SEED = "mix"
-#: As many sources at most are broadcast with their distributions (under 10 MB).
+#: As many sources at most are broadcast with their distributions (under 10 MB): those with the most rows.
 FEW = 2_000
 
 
 def rates(docs: DataFrame, source_col: str = "source", text_col: str = "text", weights: dict[str, float] | None = None, temperature: float = 0.5, epochs: float = 1.0) -> DataFrame:
-    """(source, rate) of every source; ``weights`` are relative target shares, a source without one has 0."""
-    size = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")).agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0)).cast("double").alias("size"))
+    """(source, rate, rows) of every source; ``weights`` are relative target shares, a source without one has 0."""
+    size = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0)).cast("double").alias("size"), F.count("*").alias("rows"))
     size = common.materialize(size, "sizes")
     weight = F.pow("size", F.lit(temperature))
     if weights is not None:
@@ -34,7 +34,7 @@ def rates(docs: DataFrame, source_col: str = "source", text_col: str = "text", w
     weighed = size.withColumn("weight", weight)
     total = weighed.agg(F.sum("size").alias("size"), F.sum("weight").alias("weight")).first()
     share = F.col("weight") / F.lit(total["weight"] or 1.0) * F.lit(epochs * (total["size"] or 0.0))
-    return weighed.select("source", F.when(F.col("size") > 0, share / F.col("size")).otherwise(F.lit(float(epochs))).alias("rate"))
+    return weighed.select("source", F.when(F.col("size") > 0, share / F.col("size")).otherwise(F.lit(float(epochs))).alias("rate"), "rows")
 
 
 def distributions(table: DataFrame) -> DataFrame:
@@ -62,20 +62,25 @@ def uniform(*parts):
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = SEED, **target) -> DataFrame:
-    """``docs`` with ``copy`` (from 1) and ``shuffle_key``, in the order of that key."""
-    table = distributions(rates(docs, source_col, text_col, **target)).select(F.col("source").alias("__source"), F.col("below").alias("__below"))
-    few = table.limit(FEW + 1).count() <= FEW
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    keyed = docs.drop("copy", "shuffle_key").withColumn("__source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
-    if few:
-        joined = keyed.join(F.broadcast(table), "__source")
-    else:
-        salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-        joined = keyed.withColumn("__salt", F.pmod(F.xxhash64(id_col), F.lit(16)).cast("int")).join(salted, ["__source", "__salt"]).drop("__salt")
-    u = uniform(F.lit(seed), ident)
-    counted = joined.withColumn("__u", u).withColumn("__n", F.size(F.filter("__below", lambda c: c <= F.col("__u"))))
-    copies = counted.where("__n > 0").select(*[c for c in keyed.columns if c != "__source"], F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
-    mixed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), ident, F.col("copy").cast("string"))))
+    """``docs`` with ``copy`` (from 1) and ``shuffle_key``, in the order of that key.
+
+    The distributions of the ``FEW`` sources with the most rows are broadcast; each other source has less than
+    a ``FEW``-th of all rows, and is joined by a shuffle.
+    """
+    found = rates(docs, source_col, text_col, **target)
+    most = found.orderBy(F.desc("rows"), "source").limit(FEW).select("source")
+    table = distributions(found).select("source", "below")
+    heavy, light = (table.join(F.broadcast(most.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")), how) for how in ("left_semi", "left_anti"))
+    columns = docs.drop("copy", "shuffle_key").columns
+    keyed = docs.select(F.struct(*columns).alias("row"), F.col(source_col).cast("string").alias("from"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("ident"))
+    same = F.col("from").eqNullSafe(F.col("source"))
+    joined = keyed.join(F.broadcast(heavy), same, "left")
+    if not light.isEmpty():
+        joined = joined.where("below is not null").unionByName(joined.where("below is null").drop("source", "below").join(light.hint("merge"), same))
+    n = F.size(F.filter("below", lambda c: c <= F.col("u")))
+    counted = joined.withColumn("u", uniform(F.lit(seed), F.col("ident"))).withColumn("n", n).where("n > 0")
+    copies = counted.select("row", "ident", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    mixed = copies.select("row.*", "copy", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), "ident", F.col("copy").cast("string"))).alias("shuffle_key"))
     return mixed.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
@@ -84,15 +89,16 @@ def op3_poisson_mix(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH sizes AS (SELECT coalesce(source, '') AS s, CAST(coalesce(sum(length(text)), 0) AS DOUBLE) AS size FROM documents GROUP BY 1),
+WITH sizes AS (SELECT source AS s, CAST(coalesce(sum(length(text)), 0) AS DOUBLE) AS size FROM documents GROUP BY 1),
 total AS (SELECT sum(size) AS size, sum(pow(size, 0.5)) AS weight FROM sizes),
 rates AS (SELECT s, CASE WHEN sizes.size > 0 THEN pow(sizes.size, 0.5) / total.weight * total.size / sizes.size ELSE 1.0 END AS rate FROM sizes, total),
-terms AS (SELECT s, k, exp(-rate + k * ln(rate) - lgamma(k + 1.0)) AS p FROM rates, range(0, 400) AS t(k) WHERE k <= rate + 12 * sqrt(rate) + 30),
-below AS (SELECT s, k, sum(p) OVER (PARTITION BY s ORDER BY k) AS c FROM terms),
+terms AS (SELECT s, k, exp(-rate + k * ln(rate) - lgamma(k + 1.0)) AS p FROM (SELECT s, rate, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 30) AS BIGINT) + 1)) AS k FROM rates)),
+below AS (SELECT s, list(c ORDER BY k) AS cs FROM (SELECT s, k, sum(p) OVER (PARTITION BY s ORDER BY k) AS c FROM terms) GROUP BY 1),
 drawn AS (SELECT *, CAST(concat('0x', substr(md5(concat('mix:', CAST(doc_id AS VARCHAR))), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u FROM documents),
-counted AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, count(*) AS n FROM drawn d JOIN below b ON b.s = coalesce(d.source, '') AND b.c <= d.u GROUP BY 1, 2, 3, 4, 5)
+counted AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, len(list_filter(cs, lambda c: c <= u)) AS n FROM drawn d JOIN below b ON b.s IS NOT DISTINCT FROM d.source),
+copied AS (SELECT * EXCLUDE (n), unnest(range(1, n + 1)) AS copy FROM counted)
 SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy, md5(concat('mix:order:', CAST(doc_id AS VARCHAR), ':', CAST(copy AS VARCHAR))) AS shuffle_key
-FROM counted, range(1, 400) AS r(copy) WHERE copy <= n
+FROM copied
 """
 
 QUERIES = {"op3_poisson_mix": op3_poisson_mix}

@@ -8,8 +8,10 @@ from recollect.llm import common, mixing
 
 
 def test_counts_follow_the_rates(spark):
-    docs = spark.createDataFrame([(i, "x" * 100, "a" if i % 10 else "b", "copy?", i) for i in range(5000)], "doc_id long, text string, source string, copy string, __n int")
-    got = mixing.mix(docs.drop("__n"), weights={"a": 1.0, "b": 1.0})
+    names = ["__n", "n", "u", "row", "ident", "below", "from", "rows"]
+    docs = spark.createDataFrame([(i, "x" * 100, "a" if i % 10 else "b", "copy?", *[i] * len(names)) for i in range(5000)], "doc_id long, text string, source string, copy string, " + ", ".join(f"`{n}` int" for n in names))
+    got = mixing.mix(docs, weights={"a": 1.0, "b": 1.0})
+    assert got.where(" or ".join(f"`{n}` <> doc_id" for n in names)).isEmpty()
     n = Counter(r["source"] for r in got.select("source").collect())
     assert abs(n["a"] - 2500) < 6 * 50 and abs(n["b"] - 2500) < 6 * math.sqrt(5 * 2500)
     per = Counter(r["doc_id"] for r in got.where("source = 'b'").collect())
@@ -36,6 +38,19 @@ def test_against_sql(spark, sf):
     assert got == sorted(con.execute(mixing.SQL).fetchall())
 
 
+@pytest.mark.parametrize("few", [mixing.FEW, 3, 0])
+def test_many_sources_and_high_rates_against_sql(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW", few)
+    rows = [(i, "y" * 30_000, "en", f"s{i % 9}", 1) for i in range(900)] + [(5000, "z", "en", "tiny", 1), (5000, "z", "en", "tiny", 1), (5001, "n" * 50, None, None, 2), (5002, "e" * 70, None, "", 2), (5003, None, None, "none", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    expect = con.execute(mixing.SQL).fetchall()
+    key = lambda r: str(r)
+    assert sorted((tuple(r) for r in mixing.op3_poisson_mix(spark, str(tmp_path)).collect()), key=key) == sorted(expect, key=key)
+    assert Counter(r[3] for r in expect)["tiny"] > 800
+
+
 @pytest.mark.parametrize("few", [mixing.FEW, 0])
 def test_odd_rows(spark, monkeypatch, few):
     monkeypatch.setattr(mixing, "FEW", few)
