@@ -9,7 +9,7 @@ probabilities. The class prior pi is a parameter, by default the toxic share amo
 training rows.
 
 At most ``positives`` toxic and ``unlabelled`` other documents train (in expectation, chosen
-by a hash of the id). Null and empty texts have no words and get the bias' score.
+by a hash of the id); terms are those in at least ``least`` of them, so the sample bounds their number. Null and empty texts have no words and get the bias' score.
 Without any confirmed example every score is 0. Rows with null id are neither trained on
 nor held out; repeated rows are scored each; an empty table gives no rows. Columns
 other than those named are ignored.
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from recollect.llm import common
 
 WORD = re.compile(r"[^\W\d_]+")
-VOCABULARY = 60_000
 #: Lengths of the beginnings of words that are terms beside the words.
 STEMS = (4, 5)
 
@@ -46,6 +45,15 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sorted(terms(t)) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))], ["positive", "h", "terms"])
 
 
+def risk(sp: np.ndarray, su: np.ndarray, prior: float, beta: float = 0.0) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The risk of scores of positive and unlabelled rows, its negative part, and the descent's gradients by both scores."""
+    sigmoid = lambda s: 1 / (1 + np.exp(-np.clip(s, -50, 50)))
+    negative = np.logaddexp(0, su).mean() - prior * np.logaddexp(0, sp).mean()
+    gp, gu, back = -prior * sigmoid(-sp) / len(sp), sigmoid(su) / len(su), -prior * sigmoid(sp) / len(sp)
+    value = prior * np.logaddexp(0, -sp).mean() + max(0.0, negative)
+    return (value, negative, gp + back, gu) if negative >= -beta else (value, negative, -back, -gu)
+
+
 def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, prior: float, steps: int = 300, rate: float = 0.05, l1: float = 3e-4, beta: float = 0.0) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier by the non-negative risk estimate (logistic loss, Adam, soft threshold)."""
 
@@ -60,23 +68,14 @@ def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, pr
     def gradient(m, g):
         return np.bincount(m[0], g[m[1]], minlength=size), g.sum()
 
-    sigmoid = lambda s: 1 / (1 + np.exp(-np.clip(s, -50, 50)))
     p, u = matrix(positive), matrix(unlabelled)
     w, b = np.zeros(size), math.log(prior / (1 - prior))
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, steps + 1):
-        sp, su = scores(p, w, b), scores(u, w, b)
-        negative = np.logaddexp(0, su).mean() - prior * np.logaddexp(0, sp).mean()
-        gp, gu = -prior * sigmoid(-sp) / p[2], sigmoid(su) / u[2]
-        back = -prior * sigmoid(sp) / p[2]
-        if negative >= -beta:
-            gw, gb = gradient(p, gp + back)
-            hw, hb = gradient(u, gu)
-            g = np.r_[gw + hw, gb + hb]
-        else:
-            gw, gb = gradient(p, -back)
-            hw, hb = gradient(u, -gu)
-            g = np.r_[gw + hw, gb + hb]
+        _, _, by_p, by_u = risk(scores(p, w, b), scores(u, w, b), prior, beta)
+        gw, gb = gradient(p, by_p)
+        hw, hb = gradient(u, by_u)
+        g = np.r_[gw + hw, gb + hb]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:size], b - step[size]
@@ -85,7 +84,7 @@ def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, pr
     return w, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = 2000, unlabelled: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[dict[str, tuple[float, ...]], tuple[float, ...]]:
+def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = 2000, unlabelled: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", least: int = 3) -> tuple[dict[str, tuple[float, ...]], tuple[float, ...]]:
     """Words' weights and the biases of the classifiers, from training rows only.
 
     The sampled ids of toxic documents are as many as ``positives`` at most in expectation, so they are broadcast.
@@ -104,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positive
     table = sample.mapInArrow(_terms, "positive boolean, h long, terms array<string>").toArrow()
     data = sorted(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), table.column(2).to_pylist(), strict=True))
     frequency = Counter(t for _, _, ts in data for t in ts)
-    words = {t: i for i, (t, n) in enumerate(sorted(frequency.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]) if n >= 3}
+    words = {t: i for i, (t, n) in enumerate(sorted(frequency.items(), key=lambda x: (-x[1], x[0]))) if n >= least}
     encode = lambda ts: np.array([words[t] for t in ts if t in words], np.int64)
     p = [encode(ts) for positive, _, ts in data if positive]
     u = [encode(ts) for positive, _, ts in data if not positive]

@@ -1,3 +1,4 @@
+import math
 import numpy as np
 import pytest
 
@@ -86,3 +87,32 @@ def test_toxicity_odd_rows(spark):
     known = toxicity.score(docs, {"scum": (9.0,)}, (-3.0,), ["doc_id"]).collect()
     assert {r["doc_id"] for r in known if r["predicted"]} == {None} and len(known) == 5
     assert toxicity.score(docs.limit(0), {}, (), ["doc_id"]).count() == 0
+
+
+def test_risk_and_gradient_on_both_sides_of_zero():
+    rng = np.random.default_rng(3)
+    seen = set()
+    for shift in (-4.0, 0.0, 4.0):
+        sp, su, prior = rng.normal(shift, 2, 7), rng.normal(-1, 2, 9), 0.4
+        plus = prior * sum(math.log1p(math.exp(-s)) for s in sp) / 7
+        minus = sum(math.log1p(math.exp(s)) for s in su) / 9 - prior * sum(math.log1p(math.exp(s)) for s in sp) / 7
+        value, negative, by_p, by_u = toxicity.risk(sp, su, prior)
+        assert math.isclose(value, plus + max(0.0, minus)) and math.isclose(negative, minus)
+        seen.add(minus >= 0)
+        part = (lambda p, u: prior * np.logaddexp(0, -p).mean() + np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()) if minus >= 0 else (lambda p, u: prior * np.logaddexp(0, p).mean() - np.logaddexp(0, u).mean())
+        for i in range(7):
+            e = np.eye(7)[i] * 1e-6
+            assert abs((part(sp + e, su) - part(sp - e, su)) / 2e-6 - by_p[i]) < 1e-6
+        for i in range(9):
+            e = np.eye(9)[i] * 1e-6
+            assert abs((part(sp, su + e) - part(sp, su - e)) / 2e-6 - by_u[i]) < 1e-6
+    assert seen == {True, False}
+
+
+def test_training_parts_toxic_from_clean():
+    rng = np.random.default_rng(6)
+    positive = [np.unique(np.r_[rng.integers(0, 5, 2), rng.integers(20, 60, 6)]) for _ in range(80)]
+    clean = [np.unique(rng.integers(20, 60, 8)) for _ in range(180)]
+    w, b = toxicity.nnpu(positive, clean + positive[:20], 60, 0.1)
+    score = lambda r: w[r].sum() + b
+    assert np.mean([score(r) > 0 for r in positive]) > 0.9 and np.mean([score(r) > 0 for r in clean]) < 0.05
