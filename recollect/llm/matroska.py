@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from recollect.llm import common
 
 # Element ids of the public Matroska specification (fixed values).
-EBML, DOC_TYPE, SEGMENT, INFO, TIMESTAMP_SCALE = 0x1A45DFA3, 0x4282, 0x18538067, 0x1549A966, 0x2AD7B1
+EBML, DOC_TYPE, SEGMENT, INFO, TIMESTAMP_SCALE, MUXING_APP, WRITING_APP = 0x1A45DFA3, 0x4282, 0x18538067, 0x1549A966, 0x2AD7B1, 0x4D80, 0x5741
+EBML_VERSION, READ_VERSION, ID_LENGTH, SIZE_LENGTH, TYPE_VERSION, TYPE_READ_VERSION, TRACK_UID = 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4287, 0x4285, 0x73C5
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_TYPE, CODEC_ID, DEFAULT_DURATION = 0x1654AE6B, 0xAE, 0xD7, 0x83, 0x86, 0x23E383
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
@@ -88,10 +89,15 @@ def _lace(frames: list[bytes], kind: int) -> tuple[int, bytes]:
 
 
 def mux(payload: bytes, frame: int = FRAME, laced: int = LACED, blocks: int = BLOCKS, lacing: int | None = None) -> bytes:
-    """A Matroska file with ``payload`` as the samples of track 1; ``lacing`` None: fixed where sizes are equal, else EBML."""
+    """A Matroska file with ``payload`` as the samples of track 1; ``lacing`` None: fixed where sizes are equal, else EBML.
+
+    A block holds 256 frames at most, and a cluster as long a time as its blocks' 16-bit times reach (32,767 ms).
+    """
+    if not (frame > 0 and 0 < laced <= 256 and blocks > 0) or (blocks - 1) * frame * laced * 1000 // RATE > 32_767:
+        raise ValueError("a cluster of these blocks is longer than their 16-bit times reach")
     audio = element(AUDIO, element(SAMPLING_FREQUENCY, float(RATE)) + element(CHANNELS, 1) + element(BIT_DEPTH, 8))
-    track = element(TRACK_ENTRY, element(TRACK_NUMBER, 1) + element(TRACK_TYPE, 2) + element(CODEC_ID, "A_PCM/INT/LIT") + element(DEFAULT_DURATION, frame * 10**9 // RATE) + audio)
-    body = [element(INFO, element(TIMESTAMP_SCALE, 10**6)), element(TRACKS, track)]
+    track = element(TRACK_ENTRY, element(TRACK_NUMBER, 1) + element(TRACK_UID, 1) + element(TRACK_TYPE, 2) + element(CODEC_ID, "A_PCM/INT/LIT") + element(DEFAULT_DURATION, frame * 10**9 // RATE) + audio)
+    body = [element(INFO, element(TIMESTAMP_SCALE, 10**6) + element(MUXING_APP, "recollect") + element(WRITING_APP, "recollect")), element(TRACKS, track)]
     at, cues = sum(map(len, body)), []
     step = frame * laced * blocks
     for begin in range(0, max(len(payload), 1), step):
@@ -105,7 +111,9 @@ def mux(payload: bytes, frame: int = FRAME, laced: int = LACED, blocks: int = BL
         cues.append(element(CUE_POINT, element(CUE_TIME, time) + element(CUE_TRACK_POSITIONS, element(CUE_TRACK, 1) + element(CUE_CLUSTER_POSITION, at))))
         body.append(element(CLUSTER, b"".join(parts)))
         at += len(body[-1])
-    return element(EBML, element(DOC_TYPE, "matroska")) + element(SEGMENT, b"".join([*body, element(CUES, b"".join(cues))]))
+    versions = {EBML_VERSION: 1, READ_VERSION: 1, ID_LENGTH: 4, SIZE_LENGTH: 8}
+    head = b"".join(element(i, v) for i, v in versions.items()) + element(DOC_TYPE, "matroska") + element(TYPE_VERSION, 4) + element(TYPE_READ_VERSION, 2)
+    return element(EBML, head) + element(SEGMENT, b"".join([*body, element(CUES, b"".join(cues))]))
 
 
 def integer(data: bytes, at: int, keep_marker: bool = False) -> tuple[int, int]:

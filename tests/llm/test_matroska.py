@@ -62,6 +62,36 @@ def test_column_against_brute_force(spark, sf):
     assert table.agg({"size": "sum"}).first()[0] == sum(e[2] for e in expect)
 
 
+def test_features_against_brute_force(spark):
+    texts = ["", "abc", "é" * 5000, "~" * 300_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in matroska.features(matroska.media(docs)).collect()}
+    for i, text in enumerate(texts):
+        raw = text.encode()
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        data = matroska.mux(payload)
+        signed = [b - 128 for b in payload]
+        frames = -(-len(payload) // matroska.FRAME)
+        clusters = -(-frames // (matroska.LACED * matroska.BLOCKS))
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(signed, signed[1:]))
+        assert got[i]["feature"] == f"codec=A_PCM/INT/LIT;packets={frames};clusters={clusters};cues={clusters};end_ms={len(payload) * 1000 // matroska.RATE};mean={sum(payload) * 1000 // len(payload)};energy={sum(x * x for x in signed) // len(payload)};crossings={crossings}"
+        assert (got[i]["media_bytes"], got[i]["media_sha256"]) == (len(data), hashlib.sha256(data).hexdigest())
+
+
+def test_mandatory_elements_and_limits():
+    data = matroska.mux(b"x" * 64)
+    found = {}
+    for ident, a, b in matroska.elements(data, 0, len(data)):
+        for inner, c, d in matroska.elements(data, a, b):
+            found[inner] = data[c:d]
+            found.update({leaf: data[e:f] for leaf, e, f in matroska.elements(data, c, d)} if inner in (matroska.INFO, matroska.TRACKS) else {})
+    entry = found[matroska.TRACK_ENTRY]
+    assert {i for i, _, _ in matroska.elements(entry, 0, len(entry))} >= {matroska.TRACK_NUMBER, matroska.TRACK_UID, matroska.TRACK_TYPE, matroska.CODEC_ID}
+    assert {matroska.DOC_TYPE, matroska.TYPE_VERSION, matroska.MUXING_APP, matroska.WRITING_APP, matroska.TIMESTAMP_SCALE} <= set(found)
+    with pytest.raises(ValueError):
+        matroska.mux(bytes(400_000), blocks=64)
+
+
 def test_empty_and_null_media(spark):
     assert matroska.packets(spark.createDataFrame([(1, None)], "doc_id long, media binary")).count() == 0
     assert matroska.features(matroska.media(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
