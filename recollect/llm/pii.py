@@ -197,23 +197,24 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Spans of overlapping kinds become one, named by the first.
     """
-    found = spans(docs, id_col, text_col).where(F.size("all") > 0).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("all").alias("__all")).dropDuplicates(["__id", "__key"])
-    flat = found.select("__id", "__key", F.explode("__all").alias("s")).select("__id", "__key", "s.start", "s.end", "s.kind")
-    by = Window.partitionBy("__id", "__key").orderBy("start", "end", "kind")
+    found = spans(docs, id_col, text_col).where(F.size("all") > 0).select(F.col("doc_id").alias("id"), "key", "all").dropDuplicates(["id", "key"])
+    flat = found.select("id", "key", F.explode("all").alias("s")).select("id", "key", "s.start", "s.end", "s.kind")
+    by = Window.partitionBy("id", "key").orderBy("start", "end", "kind")
     ahead = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     flat = flat.withColumn("fresh", (F.coalesce(ahead, F.lit(-1)) <= F.col("start")).cast("int"))
     flat = flat.withColumn("island", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = flat.groupBy("__id", "__key", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "end", "kind")).alias("kind"))
-    lists = merged.groupBy("__id", "__key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("__spans"))
-    text = F.col(text_col)
+    merged = flat.groupBy("id", "key", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "end", "kind")).alias("kind"))
+    ident, key, named = common.unused(docs.columns, "id", "key", "spans")
+    lists = merged.groupBy(F.col("id").alias(ident), F.col("key").alias(f"{key}_of")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias(named))
+    text, listed = F.col(text_col), F.col(named)
     tag = lambda s: F.concat(F.lit("<"), F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), F.lit(">"))
-    ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("__spans", lambda s: s["end"]))
-    part = F.transform("__spans", lambda s, i: F.concat(F.substring(text, (F.element_at(ends, i + 1) + 1).cast("int"), (s["start"] - F.element_at(ends, i + 1)).cast("int")), tag(s)))
+    ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(listed, lambda s: s["end"]))
+    part = F.transform(listed, lambda s, i: F.concat(F.substring(text, (F.element_at(ends, i + 1) + 1).cast("int"), (s["start"] - F.element_at(ends, i + 1)).cast("int")), tag(s)))
     tail = F.substring(text, (F.element_at(ends, -1) + 1).cast("int"), F.length(text))
-    clean = F.when(F.col("__spans").isNull(), text).otherwise(F.concat(F.array_join(part, ""), tail))
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(text, F.lit(""))))
-    out = keyed.join(lists.withColumnRenamed("__key", "__key2"), keyed[id_col].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__key2")), "left")
-    return out.select(*[clean.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    clean = F.when(listed.isNull(), text).otherwise(F.concat(F.array_join(part, ""), tail))
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(text, F.lit(""))))
+    out = keyed.join(lists, keyed[id_col].eqNullSafe(F.col(ident)) & (F.col(key) == F.col(f"{key}_of")), "left")
+    return out.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_pii_weak(spark, sf_dir: str) -> DataFrame:

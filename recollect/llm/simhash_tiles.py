@@ -29,6 +29,8 @@ from recollect.llm import common
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = " \t\n\x0b\f\r"
+#: Tiles of a cell at most.
+TILES = 1 << 15
 LANES = 0x0000000100000001
 
 
@@ -121,13 +123,16 @@ def _compare(radius: int):
 def links(distinct: DataFrame, radius: int = 2, tile: int = 4096) -> DataFrame:
     """Edges (a, b) that connect all fingerprints of ``distinct`` (fp) within ``radius``.
 
-    The table of cells has 17**4 rows at most, so it is broadcast.
+    The table of cells has 17**4 rows at most, so it is broadcast. Tiles are larger than ``tile`` only where
+    a cell would have more than 2**15 of them, the most that a key of a pair of tiles has room for.
     """
     quarter = [F.bit_count(F.shiftrightunsigned("fp", 16 * q).bitwiseAND(F.lit(0xFFFF))).cast("int").alias(f"p{q}") for q in range(4)]
     cell = lambda p: sum((x * 17**q for q, x in enumerate(p)), F.lit(0))
     placed = distinct.select("fp", *quarter)
     placed = placed.withColumn("cell", cell([F.col(f"p{q}") for q in range(4)]))
-    cells = common.materialize(placed.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")), "cells")
+    sizes = common.materialize(placed.groupBy("cell").agg(F.count("*").alias("n")), "cells")
+    tile = max(tile, -(-(sizes.agg(F.max("n")).first()[0] or 0) // TILES))
+    cells = sizes.select("cell", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
     near = [d for d in product(range(-radius, radius + 1), repeat=4) if sum(map(abs, d)) <= radius]
     others = F.array(*[F.struct(*[(F.col(f"p{q}") + d[q]).alias(f"p{q}") for q in range(4)]) for d in near])
     inside = F.filter(others, lambda o: (F.least(*[o[f"p{q}"] for q in range(4)]) >= 0) & (F.greatest(*[o[f"p{q}"] for q in range(4)]) <= 16))
@@ -161,10 +166,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = common.materialize(fingerprints(docs, id_col, text_col, hashed=True), "fingerprints")
     place = F.struct(F.isnull("doc_id"), F.col("doc_id"), F.col("key"))
     first = rows.join(grouped(rows, radius, tile), "fingerprint").groupBy("root").agg(F.min(place).alias("first"))
-    kept = first.select(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__kept"))
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    found = keyed.join(kept, keyed[id_col].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__kept")))
-    return found.dropDuplicates(["__id", "__kept"]).select(*docs.columns)
+    ident, key, least = common.unused(docs.columns, "id", "key", "least")
+    kept = first.select(F.col("first.doc_id").alias(ident), F.col("first.key").alias(least))
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    found = keyed.join(kept, keyed[id_col].eqNullSafe(F.col(ident)) & (F.col(key) == F.col(least)))
+    return found.dropDuplicates([ident, least]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_simhash_tiles(spark, sf_dir: str) -> DataFrame:
