@@ -3,11 +3,11 @@
 A suffix is kept only where a minimiser lies: the least hash among ``MIN_WORDS - GRAM + 1``
 neighbouring ``GRAM``-word grams. Every passage of ``MIN_WORDS`` words holds such a
 window, and equal passages keep equal positions. Of the kept suffixes those whose gram
-occurs again elsewhere are sorted by their words (as 32-bit hashes, compared as bytes), so that suffixes of one
-gram stand together. Each suffix gives the hashes of the windows of ``MIN_WORDS`` words that hold its gram; a
+occurs again elsewhere are sorted by their gram's hash and their words (as 32-bit hashes, compared as bytes), so that
+suffixes of one gram stand together. Each suffix gives the hashes of the windows of ``MIN_WORDS`` words that hold its gram; a
 window that another text gives too is part of a passage, and overlapping windows are joined.
-The sort deals by the whole suffix, the text and the
-position, so a passage that a third of all documents share spreads over many tasks. Windows of a gram that one
+The sort deals by hashes of the gram and of the suffix, the text and the
+position, so a passage that a third of all documents share spreads over many tasks, and the sampled keys are short. Windows of a gram that one
 batch holds whole are settled there; those of a gram that a batch or task border cuts are also
 compared by their hash over all batches. Documents with equal texts are handled as one text and are
 passages as a whole.
@@ -212,19 +212,18 @@ SHARED = "key long, th long, start long, end long"
 def _compare(min_words: int, gram: int):
     def found(rows: list[tuple], head: bool, tail: bool) -> pa.RecordBatch:
         """``head``, ``tail``: the first or last gram's rows may go on in another batch or task."""
-        grams = [r[0][: 4 * gram] for r in rows]
-        cut = np.array([head and g == grams[0] or tail and g == grams[-1] for g in grams])
+        cut = np.array([head and r[4] == rows[0][4] or tail and r[4] == rows[-1][4] for r in rows])
         got = shared(rows, min_words, gram, cut)
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in got], pa.int64()) for k in range(4)], ["key", "th", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, head = [], True
         for batch in batches:
-            rows = held + list(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True))
+            rows = held + list(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True))
             if not rows:
                 continue
-            last = rows[-1][0][: 4 * gram]
-            begin = next((i + 1 for i in range(len(rows) - 1, -1, -1) if rows[i][0][: 4 * gram] != last), 0)
+            last = rows[-1][4]
+            begin = next((i + 1 for i in range(len(rows) - 1, -1, -1) if rows[i][4] != last), 0)
             if len(rows) - begin > HOLD:
                 yield found(rows, head, True)
                 held, head = [], True
@@ -261,8 +260,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     keyed = rows.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).drop("doc_id")
     picked = keyed.join(chosen, ["th", "id"]).dropDuplicates(["th", "id"]).select("th", "text", "at")
     suffixes = picked.mapInArrow(_suffixes(min_words, gram), "right binary, left binary, th long, pos long")
-    order = ["right", "left", "th", "pos"]
-    compared = common.materialize(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_compare(min_words, gram), SHARED), "matches")
+    keyed = suffixes.select("*", F.xxhash64(F.substring("right", 1, 4 * gram)).alias("gram"), F.xxhash64("right").alias("suffix"))
+    dealt = keyed.repartitionByRange("gram", "suffix", "th", "pos").drop("suffix").sortWithinPartitions("gram", "right", "left", "th", "pos")
+    compared = common.materialize(dealt.mapInArrow(_compare(min_words, gram), SHARED), "matches")
     cut = compared.where("key is not null")
     across = common.materialize(cut.groupBy("key").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a < b").select("key"), "across")
     extra = cut.where("start is not null").join(across, "key").select("th", "start", (F.col("start") + min_words).alias("end"))

@@ -116,3 +116,33 @@ def test_training_parts_toxic_from_clean():
     w, b = toxicity.nnpu(positive, clean + positive[:20], 60, 0.1)
     score = lambda r: w[r].sum() + b
     assert np.mean([score(r) > 0 for r in positive]) > 0.9 and np.mean([score(r) > 0 for r in clean]) < 0.05
+
+
+def test_ftrl_against_a_plain_version(monkeypatch):
+    size, classes, alpha, beta, l1, l2 = 12, 3, 0.3, 1.0, 0.02, 1e-3
+    monkeypatch.setattr(langid, "SIZE", size)
+    rng = np.random.default_rng(2)
+    rows = [(int(rng.integers(classes)), np.sort(rng.choice(size, 4, replace=False)), rng.random(4)) for _ in range(40)]
+    weights, bias = langid.ftrl(rows, classes, alpha, beta, l1, l2, epochs=2, seed=9)
+    z, n = {}, {}
+
+    def weight(i, c):
+        a = z.get((i, c), 0.0)
+        return 0.0 if abs(a) <= l1 else -(a - math.copysign(l1, a)) / ((beta + math.sqrt(n.get((i, c), 0.0))) / alpha + l2)
+
+    order = np.random.default_rng(9)
+    for _ in range(2):
+        for r in order.permutation(len(rows)):
+            y, at, x = rows[r]
+            inputs = [*zip(at.tolist(), x.tolist(), strict=True), (size, 1.0)]
+            w = {(i, c): weight(i, c) for i, _ in inputs for c in range(classes)}
+            s = [sum(v * w[i, c] for i, v in inputs) for c in range(classes)]
+            total = sum(math.exp(t) for t in s)
+            for i, v in inputs:
+                for c in range(classes):
+                    g = v * (math.exp(s[c]) / total - (c == y))
+                    before = n.get((i, c), 0.0)
+                    z[i, c] = z.get((i, c), 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / alpha * w[i, c]
+                    n[i, c] = before + g * g
+    plain = np.array([[weight(i, c) for c in range(classes)] for i in range(size + 1)])
+    assert np.allclose(weights, plain[:size]) and np.allclose(bias, plain[size])

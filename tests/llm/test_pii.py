@@ -81,3 +81,11 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.spans(docs).count() == 0 and pii.redact(docs).count() == 0
     assert pii.redact(spark.createDataFrame([(1, "no data here")], "doc_id long, text string")).first()["text"] == "no data here"
+
+
+def test_columns_of_the_caller_stay(spark):
+    names = ["id", "_id", "key", "key_of", "spans", "least", "__key", "__id", "a.b"]
+    docs = spark.createDataFrame([(i, t, *[100 + i] * len(names)) for i, t in enumerate(["write to me@example.org now", "quite another text with many words", None])], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    got = pii.redact(docs)
+    assert got.columns == docs.columns and got.count() == 3
+    assert all(r[2:] == (100 + r["doc_id"],) * len(names) for r in got.collect())

@@ -73,3 +73,11 @@ def test_components_chain(spark):
     edges = spark.createDataFrame(pd.DataFrame({"a": range(40), "b": range(1, 41)}))
     got = common.components(edges).toPandas()
     assert len(got) == 41 and set(got.root) == {0}
+
+
+def test_columns_of_the_caller_stay(spark):
+    names = ["id", "_id", "key", "key_of", "spans", "least", "__key", "__id", "a.b"]
+    docs = spark.createDataFrame([(i, t, *[100 + i] * len(names)) for i, t in enumerate(["write to me@example.org now", "quite another text with many words", None])], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    got = simhash_tiles.keep_first(docs)
+    assert got.columns == docs.columns and got.count() == 3
+    assert all(r[2:] == (100 + r["doc_id"],) * len(names) for r in got.collect())

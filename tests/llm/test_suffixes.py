@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from recollect.llm import common, suffixes
 
@@ -104,3 +105,34 @@ def test_line_in_most_documents(spark):
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize(("families", "decoys", "shortest"), [(24, 3, 30), (12, 15, 40)])
+def test_decoys_below_the_threshold_hide_nothing(spark, families, decoys, shortest):
+    """Overlapping windows of 50 to 60 words of a family's text, among pieces of it that are too short."""
+    rng = random.Random(families)
+    some = lambda n: [f"{rng.randrange(1 << 40):x}" for _ in range(n)]
+    rows = []
+    for _ in range(families):
+        text = some(130)
+        for _ in range(12):
+            n = rng.randint(50, 60)
+            a = rng.randrange(len(text) - n)
+            pieces = [text[a : a + n]]
+            for _ in range(decoys):
+                m = rng.randint(shortest, 49)
+                b = rng.randint(max(0, a - m + 20), min(a + n - 20, len(text) - m))
+                pieces.append(text[b : b + m])
+            rows += [(0, " ".join(some(rng.randint(3, 15)) + p + some(rng.randint(3, 15)))) for p in pieces]
+    rng.shuffle(rows)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    got = sorted((tuple(r) for r in suffixes.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()), key=str)
+    assert got == brute(rows) and got
+
+
+def test_very_long_text(spark):
+    rng = random.Random(1)
+    words = [f"{rng.randrange(1 << 40):x}" for _ in range(120_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[70_000:70_080])), (3, " ".join(words[5:54])), (4, "a " * 60_000), (5, "a " * 51)]
+    got = sorted((tuple(r) for r in suffixes.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute(rows)
