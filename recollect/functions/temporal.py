@@ -20,6 +20,7 @@ NUMBERS = {"a": 1, "an": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5
 DAY, MONTH, YEAR, NEAR_DAY, AGO = 0.95, 0.90, 0.85, 0.95, {"day": 0.90, "week": 0.80, "month": 0.75, "year": 0.70}
 LAST, THIS, NEXT, WEEKDAY = {"week": 0.70, "month": 0.70, "year": 0.65}, 0.70, 0.55, 0.60
 
+# Patterns of dates (fixed values).
 DMY = r"\b(\d{1,2})\s+([a-z]+)\.?,?\s+(\d{4})\b"
 MDY = r"\b([a-z]+)\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})\b"
 MY = r"\b([a-z]+)\.?,?\s+(\d{4})\b"
@@ -86,3 +87,28 @@ def event_time(text: Column | str, said: Column | str) -> Column:
     """struct(start, end, granularity, confidence, text), or null."""
     t, said = F.lower(col(text)), col(said)
     return F.when(is_absolute(t), absolute(t)).when(said.isNotNull(), relative(t, said))
+
+
+def iso_time(x: Column | str) -> Column:
+    """An ISO date or time, with T or a blank, with Z, an offset or none (UTC), in quotes or not; else null."""
+    text = F.trim(F.btrim(F.trim(col(x)), F.lit("\"'")))
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$"), F.try_to_timestamp(F.replace(text, F.lit(" "), F.lit("T"))))
+
+
+def session_date(x: Column | str) -> Column:
+    """The day of a session's title: day month year, else month day year; a first form of no known month gives way, one without such a day is null."""
+    low = F.lower(col(x))
+
+    def made(pattern: str, day: int, name: int) -> tuple[Column, Column]:
+        part = lambda i: F.regexp_extract(low, pattern, i)
+        month = month_number(part(name))
+        date = F.try_to_timestamp(F.concat_ws("-", part(3), F.lpad(month.cast("string"), 2, "0"), F.lpad(part(day), 2, "0")), F.lit("yyyy-MM-dd"))
+        return month.isNotNull(), date
+
+    first, second = made(r"(\d{1,2})\s+([a-z]+),?\s+(\d{4})", 1, 2), made(r"([a-z]+)\s+(\d{1,2}),?\s+(\d{4})", 2, 1)
+    return F.when(first[0], first[1]).when(second[0], second[1]).cast("date")
+
+
+def unix_time(x: Column | str, now: Column) -> Column:
+    """Seconds since 1970 as a time; nothing and zero are ``now``."""
+    return F.when(F.coalesce(col(x), F.lit(0)) == 0, now).otherwise(F.timestamp_seconds(col(x)))

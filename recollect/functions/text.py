@@ -93,3 +93,18 @@ def relative_age(then: Column, now: Column) -> Column:
 
 def sentences(x: Column | str) -> Column:
     return F.filter(F.split(col(x), r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s) != "")
+
+
+# What an answer that refuses says (fixed values).
+REFUSALS = ["no information available", "not mentioned"]
+
+
+def is_refusal(x: Column | str) -> Column:
+    """Whether an answer says that it has none."""
+    low = F.lower(F.coalesce(col(x), F.lit("")))
+    return F.contains(low, F.lit(REFUSALS[0])) | F.contains(low, F.lit(REFUSALS[1]))
+
+
+def linkable(x: Column | str) -> Column:
+    """Whether a label can be the target of a double-bracket link."""
+    return F.coalesce((F.trim(col(x)) != "") & ~col(x).rlike(r"[\n\r\[\]|#]"), F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.similarity import stems
@@ -44,3 +44,44 @@ def token_f1(pairs: DataFrame, answer: str, gold: str) -> DataFrame:
 def miss_cause(gold: DataFrame) -> Column:
     """Why a gold item was not returned, from flags extracted, ranked, filtered, anchored, near and connected."""
     return F.when(~F.col("extracted"), "never_extracted").when(F.col("ranked"), "outranked").when(F.col("filtered"), "filtered_out").when(~F.col("anchored"), "no_anchors").when(F.col("near"), "walk_depth_miss").otherwise("disconnected")
+
+
+def gold_rank(scores: DataFrame, gold: DataFrame) -> DataFrame:
+    """(query, best): one more than the results of greater score than a query's best gold item; null where none was scored.
+
+    ``scores`` are (query, item, score), ``gold`` (query, item).
+    """
+    best = scores.join(gold.select("query", "item").distinct(), ["query", "item"], "left_semi").groupBy("query").agg(F.max("score").alias("top"))
+    above = scores.join(best, "query").where("score > top").groupBy("query").agg(F.count("*").alias("above"))
+    return gold.select("query").distinct().join(best, "query", "left").join(above, "query", "left").select("query", F.when(F.col("top").isNotNull(), F.coalesce("above", F.lit(0)) + 1).alias("best"))
+
+
+def miss_report(ranks: DataFrame, *keys: str, within: int = 20) -> DataFrame:
+    """(keys, misses, median, within): of ranks (best) the upper median and how many are no lower than ``within``."""
+    order = Window.partitionBy(*keys).orderBy("best")
+    placed = ranks.where("best is not null").withColumn("i", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
+    return placed.groupBy(*keys).agg(F.count("*").alias("misses"), F.max(F.when(F.col("i") == F.floor(F.col("n") / 2) + 1, F.col("best"))).alias("median"), F.count_if(F.col("best") <= within).alias("within"))
+
+
+def aggregate(rows: DataFrame, *keys: str) -> DataFrame:
+    """Means of f1 over all rows, and of recall and reciprocal_rank over those that have gold."""
+    has = F.col("n_gold") > 0
+    mean = lambda c: r4(F.avg(F.when(has, F.col(c)))).alias(c)
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), r4(F.avg("f1")).alias("f1"), mean("recall"), mean("reciprocal_rank"))
+
+
+def miss_modality(gold: DataFrame) -> DataFrame:
+    """(query, cause) of missed queries: what text or vision could answer is a failure of retrieval; so is a query without gold.
+
+    ``gold`` is (query, answerable_by_text, vision_processed), null where a query has none.
+    """
+    any_of = F.max(F.when(F.col("answerable_by_text").isNull() & F.col("vision_processed").isNull(), None).otherwise(F.coalesce("answerable_by_text", F.lit(False)) | F.coalesce("vision_processed", F.lit(False))))
+    return gold.groupBy("query").agg(any_of.alias("a")).select("query", F.when(F.coalesce("a", F.lit(True)), "retrieval_failure").otherwise("unavailable_modality").alias("cause"))
+
+
+def streaks(log: DataFrame, key: str, order: list[str], failed: Column) -> DataFrame:
+    """(key, longest, current): consecutive failures of each key's log, at most and at its end."""
+    by = Window.partitionBy(key).orderBy(*order)
+    runs = log.withColumn("__bad", failed.cast("int")).withColumn("__run", F.sum(1 - F.col("__bad")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    sizes = runs.groupBy(key, "__run").agg(F.sum("__bad").alias("bad"))
+    return sizes.groupBy(key).agg(F.max("bad").alias("longest"), F.max_by("bad", "__run").alias("current"))

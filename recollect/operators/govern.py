@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recollect.session import materialize
 from recollect.functions.text import r4
 
 STRONG, MEDIUM, WEAK = 0.65, 0.42, 0.25
@@ -147,6 +148,24 @@ FILLER = "kind type of comfort way part go thing my a an the new absolute all ti
 TOPIC_STOP = "the and but for with that this have has had now you your are was were been being from into out got get just still back over off any more anymore not dont don really actually honestly these days right what when where they them his her she him our their year years month months week weeks last next ago old".split()
 
 
+# Reasons that the gate gives (fixed values).
+REASONS = {
+    "locked": "irongrip_versions_on_explicit_only",
+    "guarded": "protected_requires_review",
+    "unverified": "fact_change_unverified_needs_recognizer",
+    "fact": "fact_change_cleared",
+    "floor": "sensitive_floor_unclassified_existing_never_auto",
+    "out": "out_of_scope",
+    "compatible": "scoped_but_compatible",
+    "historical": "historical_versioned_not_overwritten",
+    "lasting": "stable_not_auto",
+    "compound": "compound_candidate_only",
+    "unsure": "new_not_confident_enough",
+    "fixed": "durability_not_changeable",
+    "cleared": "gate_cleared",
+}
+
+
 def rlike(text: Column, pattern: str) -> Column:
     return text.rlike("(?i)" + pattern)
 
@@ -281,6 +300,63 @@ def change(old: Column, new: Column) -> Column:
     )
 
 
+def classified_pairs(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (old_text, new_text) with what the gate needs of both; each different text is classified once."""
+    texts = pairs.select(F.explode(F.array("old_text", "new_text")).alias("text")).distinct()
+    known = materialize(classify(texts), "claims")
+    side = lambda c, **names: known.select(F.col("text").alias(f"{c}_text"), *[F.col(k).alias(v) for k, v in names.items()])
+    old = side("old", status="old_status", claim_type="old_type", durability="old_durability")
+    new = side("new", status="new_status", claim_type="new_type", confidence="new_confidence", compound="new_compound")
+    return pairs.join(old, "old_text").join(new, "new_text")
+
+
+def govern(new: DataFrame, old: DataFrame, scope: str) -> DataFrame:
+    """(old, new, action, reason) of every new claim against every old one of its ``scope``, but where there is no conflict.
+
+    Inputs: ``scope``, old, old_text, old_locked, old_curated; ``scope``, new, new_text, new_curated. The scope is whose
+    memory a claim belongs to, and bounds the pairs. A curated old claim is never settled alone by one that is not curated.
+    """
+    texts = lambda df, c: df.where(F.trim(F.coalesce(F.col(c), F.lit(""))) != "")
+    pairs = texts(old, "old_text").join(texts(new, "new_text"), scope)
+    alike = materialize(classified_pairs(pairs.select("old_text", "new_text").distinct()), "pairs")
+    locked = alike.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("old_locked"))
+    decided = materialize(gate(locked).select("old_text", "new_text", "old_locked", "action", "reason").where("action <> 'no_conflict'"), "decided")
+    found = pairs.join(decided, ["old_text", "new_text", "old_locked"])
+    shield = (F.col("action") == "auto_supersede") & F.col("old_curated") & ~F.col("new_curated")
+    return found.select("old", "new", F.when(shield, "candidate").otherwise(F.col("action")).alias("action"), F.when(shield, F.concat(F.lit("curated_shield: "), "reason")).otherwise(F.col("reason")).alias("reason"))
+
+
+def enqueue(outcomes: DataFrame, after: int = 0) -> DataFrame:
+    """(candidate, old, new, action, reason) of what waits for review, numbered on from ``after`` in order of both claims.
+
+    Numbers are a range partition's place and the prefix sum of the partitions before it, so no task sees the whole queue.
+    """
+    waiting = outcomes.where(F.col("action").isin("candidate", "version_locked"))
+    dealt = materialize(waiting.repartitionByRange("old", "new").withColumn("part", F.spark_partition_id()), "queue")
+    inside = dealt.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("old", "new")))
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("size"))
+    before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
+    return inside.join(before, "part").select((F.col("n") + F.col("before") + after).alias("candidate"), "old", "new", "action", "reason")
+
+
+def open_candidates(queue: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """The queue without resolved candidates."""
+    return queue.join(resolutions.select("candidate"), "candidate", "left_anti")
+
+
+def coexist(queue: DataFrame, chosen: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """(a, b) of the tensions to draw for ``chosen`` candidates: each pair once, without loops and ``conflicts`` (source, target) that exist."""
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    wanted = queue.join(chosen.select("candidate"), "candidate", "left_semi").where("old <> new").select(*pair("old", "new")).distinct()
+    return wanted.join(conflicts.select(*pair("source", "target")), ["a", "b"], "left_anti")
+
+
+def route() -> Column:
+    """Of a classified claim: ``auto_eligible``, or ``candidate_only`` where anything about it is unsure, past or protected."""
+    sure = (F.col("status") == "classified") & ~F.col("compound") & ~F.col("durability").isin("unknown", "one_time") & ~F.coalesce(F.col("claim_type").isin(PROTECTED), F.lit(False))
+    return F.when(sure, "auto_eligible").otherwise("candidate_only")
+
+
 def gate(pairs: DataFrame) -> DataFrame:
     """``pairs`` with action and reason. The gate only ever errs towards review.
 
@@ -302,15 +378,15 @@ def gate(pairs: DataFrame) -> DataFrame:
     wire = F.concat(F.lit("tripwire_distrust:"), F.col("__trip"))
     is_fact, locked, tripped = F.col("__fact"), F.col("old_locked"), F.col("__trip").isNotNull()
     decided = (
-        F.when(is_fact & locked, say("version_locked", "irongrip_versions_on_explicit_only")).when(is_fact & tripped, say("candidate", wire))
-        .when(is_fact & guarded, say("candidate", "protected_requires_review")).when(is_fact & (F.col("__f.dimension") != "favourite"), say("candidate", "fact_change_unverified_needs_recognizer"))
-        .when(is_fact, say("auto_supersede", "fact_change_cleared"))
-        .when(~known, say("no_conflict", "sensitive_floor_unclassified_existing_never_auto")).when(F.col("scope") < 1.0, say("no_conflict", "out_of_scope"))
-        .when(~F.col("contradiction"), say("no_conflict", "scoped_but_compatible")).when(locked, say("version_locked", "irongrip_versions_on_explicit_only"))
-        .when(F.col("old_durability") == "one_time", say("candidate", "historical_versioned_not_overwritten")).when(F.col("old_durability") == "stable", say("candidate", "stable_not_auto"))
-        .when(guarded, say("candidate", "protected_requires_review")).when(F.col("new_compound"), say("candidate", "compound_candidate_only"))
-        .when(F.col("new_confidence") < CLASSIFIED, say("candidate", "new_not_confident_enough")).when(~F.col("old_durability").isin("fast_change", "slow_change"), say("candidate", "durability_not_changeable"))
-        .when(tripped, say("candidate", wire)).otherwise(say("auto_supersede", "gate_cleared"))
+        F.when(is_fact & locked, say("version_locked", REASONS["locked"])).when(is_fact & tripped, say("candidate", wire))
+        .when(is_fact & guarded, say("candidate", REASONS["guarded"])).when(is_fact & (F.col("__f.dimension") != "favourite"), say("candidate", REASONS["unverified"]))
+        .when(is_fact, say("auto_supersede", REASONS["fact"]))
+        .when(~known, say("no_conflict", REASONS["floor"])).when(F.col("scope") < 1.0, say("no_conflict", REASONS["out"]))
+        .when(~F.col("contradiction"), say("no_conflict", REASONS["compatible"])).when(locked, say("version_locked", REASONS["locked"]))
+        .when(F.col("old_durability") == "one_time", say("candidate", REASONS["historical"])).when(F.col("old_durability") == "stable", say("candidate", REASONS["lasting"]))
+        .when(guarded, say("candidate", REASONS["guarded"])).when(F.col("new_compound"), say("candidate", REASONS["compound"]))
+        .when(F.col("new_confidence") < CLASSIFIED, say("candidate", REASONS["unsure"])).when(~F.col("old_durability").isin("fast_change", "slow_change"), say("candidate", REASONS["fixed"]))
+        .when(tripped, say("candidate", wire)).otherwise(say("auto_supersede", REASONS["cleared"]))
     )
     return df.withColumn("__d", decided).withColumn("action", F.col("__d.action")).withColumn("reason", F.col("__d.reason")).drop("__f", "__trip", "__fact", "__d")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.session import materialize
@@ -20,11 +20,28 @@ def adjacency(edges: DataFrame, use_confidence: bool = False) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.max("strength").alias("strength"))
 
 
+def connections(edges: DataFrame) -> DataFrame:
+    """(src, dst) in both directions, parallel edges as they are: enough for a walk that counts steps alone."""
+    both = F.array(F.struct(F.col("source").alias("src"), F.col("target").alias("dst")), F.struct(F.col("target").alias("src"), F.col("source").alias("dst")))
+    return edges.select(F.inline(both))
+
+
 def neighbours(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(node, neighbour) of every id in ``ids`` (node)."""
     return adjacency(edges).join(ids.select(F.col("node").alias("src")), "src").select(F.col("src").alias("node"), F.col("dst").alias("neighbour"))
 
 
+def hops(connected: DataFrame, anchors: DataFrame, depth: int = 3) -> DataFrame:
+    """(query, node, hops) of all nodes within ``depth`` of a query's anchors: a walk without strengths."""
+    connected = materialize(connected, "connections")
+    levels = [materialize(anchors.select("query", "node", F.lit(0).alias("hops")).distinct(), "level")]
+    for hop in range(1, depth + 1):
+        visited = reduce(DataFrame.unionByName, levels).select("query", F.col("node").alias("dst"))
+        step = levels[-1].select("query", F.col("node").alias("src")).join(connected, "src").select("query", "dst").distinct()
+        levels.append(materialize(step.join(visited, ["query", "dst"], "left_anti").select("query", F.col("dst").alias("node"), F.lit(hop).alias("hops")), "level"))
+    return reduce(DataFrame.unionByName, levels)
+
+
 def walk(adjacent: DataFrame, anchors: DataFrame, depth: int = 3, paths: bool = False) -> DataFrame:
     """(query, node, hops, strength), with ``paths`` also path, of all nodes within ``depth`` of a query's anchors.
 
@@ -77,9 +94,9 @@ def forget_preview(edges: DataFrame, ids: DataFrame, depth: int = 10) -> DataFra
 
 def subgraph(edges: DataFrame, anchors: DataFrame, depth: int = 2) -> DataFrame:
     """(query, edge columns): edges that touch any node within ``depth``; they may point beyond."""
-    inside = walk(adjacency(edges), anchors, depth).select("query", "node")
+    inside = hops(connections(edges), anchors, depth).select("query", "node")
     touch = lambda c: edges.join(inside.withColumnRenamed("node", c), c).select("query", *edges.columns)
-    return touch("source").unionByName(touch("target")).distinct()
+    return touch("source").unionByName(touch("target").join(inside.withColumnRenamed("node", "source"), ["query", "source"], "left_anti"))
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -89,8 +106,10 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges of which an end is not among ``nodes``."""
-    return edges.join(nodes.select(F.col("node").alias("source")), "source", "left_anti").unionByName(edges.join(nodes.select(F.col("node").alias("target")), "target", "left_anti")).distinct()
+    """Edges of which an end is not among ``nodes`` (distinct): one left join for each end, and no distinct."""
+    known = lambda c, flag: nodes.select(F.col("node").alias(c), F.lit(True).alias(flag))
+    marked = edges.join(known("source", "__s"), "source", "left").join(known("target", "__t"), "target", "left")
+    return marked.where("__s is null or __t is null").select(*edges.columns)
 
 
 def tensions(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -137,4 +156,7 @@ def community_rollup(members: DataFrame, adjacent: DataFrame, top: int = 5) -> D
     inside = adjacent.join(members.select(F.col("node").alias("src"), F.col("community").alias("c1")), "src").join(members.select(F.col("node").alias("dst"), F.col("community").alias("c2")), "dst").where("c1 = c2")
     degree = inside.groupBy(F.col("src").alias("node")).agg(F.sum("strength").alias("degree"))
     ranked = members.join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0.0)))
-    return ranked.groupBy("community").agg(F.count("*").alias("size"), F.min(F.struct((-F.col("degree")).alias("d"), "node")).getField("node").alias("centroid"), F.slice(F.array_sort(F.collect_list(F.struct((-F.col("degree")).alias("d"), "node"))), 1, top).getField("node").alias("top_labels"))
+    place = F.row_number().over(Window.partitionBy("community").orderBy(F.desc("degree"), "node"))
+    first = ranked.withColumn("place", place).where(F.col("place") <= top).groupBy("community").agg(F.array_sort(F.collect_list(F.struct("place", "node"))).getField("node").alias("top_labels"))
+    sizes = ranked.groupBy("community").agg(F.count("*").alias("size"))
+    return sizes.join(first, "community").select("community", "size", F.element_at("top_labels", 1).alias("centroid"), "top_labels")

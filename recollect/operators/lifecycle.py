@@ -44,8 +44,8 @@ def mark_used(edges: DataFrame, used: DataFrame, step: float = 0.05) -> DataFram
     """Edges with the weight of those at a used node raised by ``step``, to 1 at most."""
     at = used.select("node").distinct()
     flagged = edges.join(at.select(F.col("node").alias("source"), F.lit(True).alias("__s")), "source", "left").join(at.select(F.col("node").alias("target"), F.lit(True).alias("__t")), "target", "left")
-    raised = r4(F.least(F.lit(1.0), F.col("weight") + step))
-    return flagged.withColumn("weight", F.when(F.col("__s") | F.col("__t"), raised).otherwise(r4(F.col("weight")))).select(*edges.columns)
+    raised = F.least(F.lit(1.0), F.col("weight") + step)
+    return flagged.withColumn("weight", F.when(F.col("__s") | F.col("__t"), raised).otherwise(F.col("weight"))).select(*edges.columns)
 
 
 def refresh(stored: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.functions.text import r4
-from recollect.operators import graph
+from recollect.functions.text import normalize_label, r4
+from recollect.operators import extract, graph, resolve
+from recollect.session import materialize
 
 # Weights and bounds of the score, and the words that keyword anchors ignore (fixed values).
 RECENCY, FREQUENCY, PROXIMITY, HALF_LIFE, FREQUENT, HOP_LOSS, DEPTH = 0.35, 0.30, 0.35, 365.0, 50, 0.3, 3
@@ -82,6 +85,53 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def entity_anchors(nodes: DataFrame, named: DataFrame, below: int = 3, least: float | None = 0.75) -> DataFrame:
+    """(query, node, exact) of the entities that queries name: ``named`` is (query, label, node_type).
+
+    A name's anchor is the first node of its type whose normalised label is equal; where there is none, the first of any
+    type within ``below`` edits or ``least`` alike. Names and labels meet by keys alone.
+    """
+    told = materialize(named.where("node_type <> 'context'").select("query", "label", "node_type", normalize_label("label").alias("norm")).distinct(), "named")
+    labels = nodes.where("node_type <> 'context'").select("node", "node_type", normalize_label("label").alias("norm"))
+    equal = told.join(labels, ["node_type", "norm"]).groupBy("query", "label", "node_type").agg(F.min("node").alias("node"))
+    equal = materialize(equal, "exact")
+    rest = told.join(equal.select("query", "label", "node_type"), ["query", "label", "node_type"], "left_anti")
+    words, every = rest.select(F.col("norm").alias("label")).distinct(), labels.select(F.col("norm").alias("label")).distinct()
+    near = resolve.fuzzy_pairs(words, every, below).select(F.col("a").alias("norm"), F.col("b").alias("found"))
+    if least is not None:
+        alike = resolve.alike_pairs(words.select(F.lit("any").alias("node_type"), F.col("label").alias("norm"), F.concat(F.lit("0"), "label").alias("node")).unionByName(every.select(F.lit("any").alias("node_type"), F.col("label").alias("norm"), F.concat(F.lit("1"), "label").alias("node"))), below, least)
+        near = near.union(alike.where("before like '0%' and after like '1%'").select(F.substring("before", 2, 1 << 20), F.substring("after", 2, 1 << 20))).distinct()
+    close = rest.join(near, "norm").join(labels.select("node", F.col("norm").alias("found")), "found").groupBy("query", "label", "node_type").agg(F.min("node").alias("node"))
+    both = equal.withColumn("exact", F.lit(True)).unionByName(close.withColumn("exact", F.lit(False)))
+    return both.groupBy("query", "node").agg(F.max("exact").alias("exact"))
+
+
+def named_in(queries: DataFrame) -> DataFrame:
+    """(query, label, node_type) of what the extractor finds in the queries' texts."""
+    parts = {"entity": extract.tech_entities(queries, "query", "text").select("query", "label").unionByName(extract.entities(queries, "query", "text")), "decision": extract.decisions(queries, "query", "text"), "fact": extract.facts(queries, "query", "text"), "preference": extract.preferences(queries, "query", "text")}
+    found = [df.select("query", "label", F.lit(kind).alias("node_type")) for kind, df in parts.items()]
+    topics = extract.topics(queries, "query", "text").select("query", F.col("topic").alias("label"), F.lit("topic").alias("node_type"))
+    return reduce(DataFrame.unionByName, [*found, topics])
+
+
+def semantic_anchors(near: DataFrame, floor: float = SIMILAR) -> DataFrame:
+    """Of nearest vectors (query, item, similarity, rank) those similar enough to be anchors."""
+    return near.where(F.col("similarity") >= floor).select("query", F.col("item").alias("node"), "similarity", "rank")
+
+
+def fused_anchors(keyword: DataFrame, semantic: DataFrame, top: int = TOP_K) -> DataFrame:
+    """(query, node, score, rank) of both ranked lists (query, node, rank) by reciprocal rank."""
+    item = lambda df: df.select("query", F.col("node").alias("item"), "rank")
+    return rrf(item(keyword).unionByName(item(semantic)), top).withColumnRenamed("item", "node")
+
+
+def union_anchors(entity: DataFrame, keyword: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
+    """(query, node): entities, keywords only where a query names no entity, and what is similar."""
+    fallback = keyword.join(entity.select("query").distinct(), "query", "left_anti")
+    parts = [entity, fallback] + ([semantic] if semantic is not None else [])
+    return reduce(DataFrame.unionByName, [p.select("query", "node") for p in parts]).distinct()
+
+
 def rrf(lists: DataFrame, top: int = TOP_K) -> DataFrame:
     """(query, item, score, rank) of ranked lists (query, item, rank) fused by reciprocal rank."""
     fused = lists.groupBy("query", "item").agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("raw"))
@@ -90,19 +140,59 @@ def rrf(lists: DataFrame, top: int = TOP_K) -> DataFrame:
     return fused.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
-def recall(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, now: Column, top: int = 5, least: float = 0.01, as_of: Column | None = None, similarity: DataFrame | None = None, depth: int = DEPTH) -> DataFrame:
+def scored(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, now: Column, least: float = 0.01, as_of: Column | None = None, similarity: DataFrame | None = None, depth: int = DEPTH, members: DataFrame | None = None, include_context: bool = False, include_invalidated: bool = False, fading: bool = False, scorer=None) -> DataFrame:
+    """Every node that a query's walk reaches with its scores and, in ``reason``, why it is left out (null: it is not).
+
+    ``members`` (node, community) boost nodes of the anchors' communities; ``fading`` lets confidence decay up to ``now``
+    (nodes then carry source_type, pinned and last_referenced); ``scorer`` maps the rows to a column that replaces the base score.
+    """
+    reached = graph.hops(graph.connections(edges), anchors, depth)
+    rows = reached.join(nodes, "node", "left")
+    reason = F.when(F.col("node_type").isNull(), "missing").otherwise(as_of_reason(as_of, F.col("node_type"), F.col("valid_from"), F.col("valid_until"), F.lit(None) if include_invalidated else F.col("invalidated_at"), include_context))
+    rows = rows.withColumn("reason", reason)
+    rows = rows.join(similarity.select("query", "node", "similarity"), ["query", "node"], "left") if similarity is not None else rows.withColumn("similarity", F.lit(None).cast("double"))
+    boost = F.lit(0.0)
+    if members is not None:
+        home = anchors.select("query", "node").join(members, "node").select("query", "community").distinct().withColumn("__home", F.lit(True))
+        rows = rows.join(members.select("node", "community"), "node", "left").join(home, ["query", "community"], "left")
+        boost = F.when(F.col("__home"), BOOST).otherwise(0.0)
+    when = F.coalesce("recorded_at", "created_at") if "recorded_at" in nodes.columns else F.col("created_at")
+    rows = rows.withColumns({"recency": recency(now, when), "frequency": frequency(F.col("access_count")), "proximity": proximity(F.col("hops")), "boost": boost})
+    rows = rows.withColumn("base", three_factor(F.col("recency"), F.col("frequency"), F.col("proximity")))
+    rows = rows.withColumn("base", scorer(rows)) if scorer else rows
+    sure = F.col("confidence")
+    if fading:
+        sure = decayed(sure, now, F.coalesce("last_referenced", "created_at"), (F.col("source_type") == "inferred") & ~F.col("pinned") & F.col("invalidated_at").isNull())
+    rows = rows.withColumn("score", final_score(F.col("base"), F.col("similarity"), F.col("boost"), sure))
+    return rows.withColumn("reason", F.coalesce("reason", F.when(F.col("score") < least, "below_min_score")))
+
+
+def recall(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, now: Column, top: int = 5, least: float = 0.01, as_of: Column | None = None, similarity: DataFrame | None = None, depth: int = DEPTH, rerank=None, head: int = 20, **more) -> DataFrame:
     """(query, node, hops, recency, frequency, proximity, score, rank): the best ``top`` nodes of each query.
 
     ``nodes`` carry node, node_type, created_at, access_count, confidence, valid_from,
-    valid_until and invalidated_at; ``similarity`` (query, node, similarity) makes the score semantic first.
+    valid_until and invalidated_at; ``similarity`` (query, node, similarity) makes the score semantic first. ``rerank`` maps the rows
+    to a column by which the first ``head`` of each query are put in order anew. ``more`` is as for ``scored``.
     """
-    reached = graph.walk(graph.adjacency(edges), anchors, depth).select("query", "node", "hops")
-    rows = reached.join(nodes, "node")
-    reason = as_of_reason(as_of, F.col("node_type"), F.col("valid_from"), F.col("valid_until"), F.col("invalidated_at"))
-    rows = rows.where(reason.isNull())
-    rows = rows.join(similarity, ["query", "node"], "left") if similarity is not None else rows.withColumn("similarity", F.lit(None).cast("double"))
-    rows = rows.withColumns({"recency": recency(now, F.col("created_at")), "frequency": frequency(F.col("access_count")), "proximity": proximity(F.col("hops"))})
-    base = three_factor(F.col("recency"), F.col("frequency"), F.col("proximity"))
-    rows = rows.withColumn("score", final_score(base, F.col("similarity"), F.lit(0.0), F.col("confidence"))).where(F.col("score") >= least)
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "node"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= top).select("query", "node", "hops", "recency", "frequency", "proximity", "score", "rank")
+    rows = scored(nodes, edges, anchors, now, least, as_of, similarity, depth, **more).where("reason is null")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "node")
+    ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= (max(top, head) if rerank else top))
+    if rerank:
+        again = ranked.withColumn("second", F.when(F.col("rank") <= head, rerank(ranked)))
+        ranked = again.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.isnull("second"), F.desc("second"), "rank"))).where(F.col("rank") <= top)
+    return ranked.select("query", "node", "hops", "recency", "frequency", "proximity", "score", "rank")
+
+
+def attach_tensions(results: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``results`` with ``tensions``: the live nodes that conflict with each result's node, in order of their ids."""
+    pairs = graph.tensions(edges, nodes)
+    other = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    asked = other.join(results.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.array_sort(F.collect_list("other")).alias("tensions"))
+    return results.join(asked, "node", "left").withColumn("tensions", F.coalesce("tensions", F.array().cast("array<string>"))).select(*results.columns, "tensions")
+
+
+def confidence_page(nodes: DataFrame, now: Column, order: str, limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of nodes, newest first by ``order``, then in the order of their confidence as it has decayed by ``now``."""
+    eligible = (F.col("source_type") == "inferred") & ~F.col("pinned") & F.col("invalidated_at").isNull()
+    page = nodes.orderBy(F.desc(order), "node").offset(offset).limit(limit)
+    return page.withColumn("confidence", r4(decayed(F.col("confidence"), now, F.coalesce("last_referenced", "created_at"), eligible))).orderBy(F.desc("confidence"), "node")

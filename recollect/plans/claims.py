@@ -46,8 +46,15 @@ def _said(spark, d):
     return joined.selectExpr("c_custkey AS id", f"{quoted(_case(FIRST))} AS old_text", f"{quoted(_case(LATER))} AS new_text")
 
 
+BOUND = "\\b"
+
+
+def _quote(p: str) -> str:
+    return p.replace("'", "''")
+
+
 def _re(x: str, p: str) -> str:
-    return f"regexp_matches({x}, '(?i){p.replace(chr(39), chr(39) * 2)}')"
+    return f"regexp_matches({x}, '(?i){_quote(p)}')"
 
 
 def _total(x: str, signals) -> str:
@@ -87,7 +94,10 @@ def claim_classify(spark, d):
     return govern.classify(_said(spark, d), "old_text").select("id", "claim_type", "confidence", "status", "compound", "durability", "boundary")
 
 
-@query(f"WITH {SAID} SELECT id, CASE WHEN {_re('new_text', govern.NEGATED)} THEN -1 ELSE 1 END AS polarity, coalesce({', '.join(f'CASE WHEN {_re(chr(110) + chr(101) + chr(119) + chr(95) + chr(116) + chr(101) + chr(120) + chr(116), chr(92) + chr(98) + s + chr(92) + chr(98))} THEN {chr(39) + s + chr(39)} END' for s in govern.STATUSES)}) AS status_value FROM said")
+STATUS_SQL = ", ".join(f"CASE WHEN {_re('new_text', BOUND + s + BOUND)} THEN '{s}' END" for s in govern.STATUSES)
+
+
+@query(f"WITH {SAID} SELECT id, CASE WHEN {_re('new_text', govern.NEGATED)} THEN -1 ELSE 1 END AS polarity, coalesce({STATUS_SQL}) AS status_value FROM said")
 def polarity(spark, d):
     return _said(spark, d).select("id", govern.polarity(F.col("new_text")).alias("polarity"), govern.status_value(F.col("new_text")).alias("status_value"))
 
@@ -138,19 +148,17 @@ def fact_change(spark, d):
 
 
 def _pairs(spark, d):
-    said = _said(spark, d)
-    old = govern.classify(said, "old_text").select("id", "old_text", F.col("status").alias("old_status"), F.col("claim_type").alias("old_type"), F.col("durability").alias("old_durability"), (F.col("id") % 11 == 0).alias("old_locked"))
-    new = govern.classify(said, "new_text").select(F.col("id").alias("id2"), "new_text", F.col("status").alias("new_status"), F.col("claim_type").alias("new_type"), F.col("confidence").alias("new_confidence"), F.col("compound").alias("new_compound"))
-    return old.join(new, F.col("id") == F.col("id2")).drop("id2")
+    both = govern.classified_pairs(_said(spark, d))
+    return both.withColumn("old_locked", F.col("id") % 11 == 0)
 
 
 def _subject_sql(x: str) -> str:
-    own = f"({_re(x, '^(?:ugh|argh|honestly|actually|yeah|well|so)?[,\\s]*i\\b')} OR {_re(x, chr(92) + 'bmy' + chr(92) + 'b')})"
+    own = f"({_re(x, '^(?:ugh|argh|honestly|actually|yeah|well|so)?[,\\s]*i\\b')} OR {_re(x, BOUND + 'my' + BOUND)})"
     return f"CASE WHEN {own} THEN 'self' WHEN regexp_extract({x}, '\\b([A-Z][a-z]+)\\b', 1) <> '' THEN lower(regexp_extract({x}, '\\b([A-Z][a-z]+)\\b', 1)) ELSE 'unknown' END"
 
 
 def _status_sql(x: str) -> str:
-    return "coalesce(" + ", ".join(f"CASE WHEN {_re(x, f'{chr(92)}b{s}{chr(92)}b')} THEN '{s}' END" for s in govern.STATUSES) + ")"
+    return "coalesce(" + ", ".join(f"CASE WHEN {_re(x, BOUND + s + BOUND)} THEN '{s}' END" for s in govern.STATUSES) + ")"
 
 
 def _lower_part(x: str, p: str) -> str:
@@ -185,7 +193,10 @@ def gate_decisions(spark, d):
     return govern.gate(_pairs(spark, d)).select("id", "scope", "contradiction", "action", "reason")
 
 
-@query(f"WITH {GATE_SQL} SELECT count(*) AS decisions, count(*) FILTER (WHERE x[1] = 'auto_supersede') AS auto_supersede, count(*) FILTER (WHERE x[1] = 'candidate') AS candidate, count(*) FILTER (WHERE x[1] = 'version_locked') AS version_locked, count(*) FILTER (WHERE x[1] = 'no_conflict') AS no_conflict, count(*) FILTER (WHERE x[2] LIKE 'tripwire%') AS tripwire, {R4('count(*) FILTER (WHERE x[1] = ' + chr(39) + 'auto_supersede' + chr(39) + ')::DOUBLE / count(*) FILTER (WHERE x[1] <> ' + chr(39) + 'no_conflict' + chr(39) + ')')} AS auto_fire_rate FROM g")
+AUTO_SHARE = "count(*) FILTER (WHERE x[1] = 'auto_supersede')::DOUBLE / count(*) FILTER (WHERE x[1] <> 'no_conflict')"
+
+
+@query(f"WITH {GATE_SQL} SELECT count(*) AS decisions, count(*) FILTER (WHERE x[1] = 'auto_supersede') AS auto_supersede, count(*) FILTER (WHERE x[1] = 'candidate') AS candidate, count(*) FILTER (WHERE x[1] = 'version_locked') AS version_locked, count(*) FILTER (WHERE x[1] = 'no_conflict') AS no_conflict, count(*) FILTER (WHERE x[2] LIKE 'tripwire%') AS tripwire, {R4(AUTO_SHARE)} AS auto_fire_rate FROM g")
 def gate_metrics(spark, d):
     return govern.gate_metrics(govern.gate(_pairs(spark, d)))
 
@@ -197,8 +208,53 @@ def confusion_matrix(spark, d):
     return p.groupBy(F.coalesce("old_type", F.lit("none")).alias("first_type"), F.coalesce("new_type", F.lit("none")).alias("later_type")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH {SAID}, {_classified_sql('k', 'new_text')} SELECT status, {R4('avg(CAST(compound AS INTEGER))')} AS compound, count(*) AS n FROM said JOIN k ON k.text = new_text GROUP BY 1")
 def compound_share(spark, d):
     """The share of compound claims by status of all later claims."""
     c = govern.classify(_said(spark, d), "new_text")
     return c.groupBy("status").agg(r4(F.avg(F.col("compound").cast("double"))).alias("compound"), F.count("*").alias("n"))
+
+
+#: Claims of four neighbouring customers are one scope: every later claim meets every first one of its scope.
+WIDE = 1_000_000
+SCOPED = f"""
+{SAID.replace("said AS", "own AS")}, said AS (SELECT a.id * {WIDE} + b.id AS id, a.old_text, b.new_text FROM own a JOIN own b ON a.id // 4 = b.id // 4)"""
+SCOPED_SQL = f"""{GATE_SQL.replace(SAID, SCOPED).replace('id % 11 = 0 AS locked', f'(id // {WIDE}) % 11 = 0 AS locked')},
+ids AS (SELECT id // {WIDE} AS old, id % {WIDE} AS new, x[1] AS action, x[2] AS reason FROM g),
+outcomes AS (SELECT old, new, CASE WHEN shield THEN 'candidate' ELSE action END AS action, CASE WHEN shield THEN 'curated_shield: ' || reason ELSE reason END AS reason
+  FROM (SELECT *, action = 'auto_supersede' AND old % 5 = 0 AND new % 7 <> 0 AS shield FROM ids) WHERE action <> 'no_conflict'),
+queue AS (SELECT row_number() OVER (ORDER BY old, new) AS candidate, old, new, action, reason FROM outcomes WHERE action IN ('candidate', 'version_locked'))"""
+
+
+def _outcomes(spark, d):
+    own = _said(spark, d).withColumn("scope", F.floor(F.col("id") / 4))
+    old = own.select("scope", F.col("id").alias("old"), "old_text", (F.col("id") % 11 == 0).alias("old_locked"), (F.col("id") % 5 == 0).alias("old_curated"))
+    new = own.select("scope", F.col("id").alias("new"), "new_text", (F.col("id") % 7 == 0).alias("new_curated"))
+    return govern.govern(new, old, "scope")
+
+
+@query(f"WITH {SCOPED_SQL} SELECT * FROM outcomes")
+def govern_batch(spark, d):
+    """What the gate does with every later claim against the first claims of its scope; every fifth first claim is curated."""
+    return _outcomes(spark, d).select("old", "new", "action", "reason")
+
+
+@query(f"WITH {SCOPED_SQL} SELECT * FROM queue WHERE new % 3 <> 0 ORDER BY candidate")
+def candidates_open(spark, d):
+    """The review queue without what was resolved: candidates whose new claim has an id divisible by three."""
+    queue = govern.enqueue(_outcomes(spark, d))
+    return govern.open_candidates(queue, queue.where("new % 3 = 0").select("candidate", F.lit("coexist").alias("resolution"))).select("candidate", "old", "new", "action", "reason").orderBy("candidate")
+
+
+@query(f"WITH {SCOPED_SQL} SELECT DISTINCT least(old, new) AS a, greatest(old, new) AS b FROM queue WHERE new % 3 = 0 AND old <> new AND NOT (least(old, new) % 2 = 0 AND greatest(old, new) - least(old, new) = 1)")
+def coexist_resolve(spark, d):
+    """Tensions drawn for candidates that are resolved as coexisting, but for pairs that conflict already."""
+    queue = govern.enqueue(_outcomes(spark, d))
+    own = table(spark, d, "customer").where("c_custkey % 2 = 0").select((F.col("c_custkey") + 1).alias("source"), F.col("c_custkey").alias("target"))
+    return govern.coexist(queue, queue.where("new % 3 = 0").select("candidate"), own)
+
+
+@query(f"WITH {SAID}, {_classified_sql('c', 'old_text')} SELECT id, CASE WHEN status <> 'classified' OR compound OR durability IN ('unknown', 'one_time') OR claim_type IN ('health_state', 'identity', 'belief_value', 'relationship') THEN 'candidate_only' ELSE 'auto_eligible' END AS route FROM said JOIN c ON c.text = old_text")
+def claim_routes(spark, d):
+    """Which claims the gate may ever settle alone."""
+    return govern.classify(_said(spark, d), "old_text").select("id", govern.route().alias("route"))

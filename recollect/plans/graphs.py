@@ -67,10 +67,10 @@ def walk_paths(spark, d):
     return walked.select("query", "node", "hops", r4(F.col("strength")).alias("strength"), F.array_join("path", ">").alias("path"))
 
 
-@query(_walk_sql(NATION_ANCHORS, 1, "SELECT query, edge_type, count(*) AS edges FROM (SELECT DISTINCT query, e.* FROM walked JOIN edges e ON e.source = walked.node OR e.target = walked.node) GROUP BY 1, 2"))
+@query(_walk_sql(NATION_ANCHORS, 2, "SELECT query, edge_type, count(*) AS edges FROM (SELECT DISTINCT query, e.* FROM walked JOIN edges e ON e.source = walked.node OR e.target = walked.node) GROUP BY 1, 2"))
 def subgraphs(spark, d):
-    """Edges around each nation's first ring."""
-    return graph.subgraph(views.edges(spark, d), _nations(spark, d), 1).groupBy("query", "edge_type").agg(F.count("*").alias("edges"))
+    """Edges around each nation's first two rings."""
+    return graph.subgraph(views.edges(spark, d), _nations(spark, d), 2).groupBy("query", "edge_type").agg(F.count("*").alias("edges"))
 
 
 @query(f"WITH RECURSIVE {views.DERIVED_SQL}, r(query, node, hops) AS (SELECT source, source, 0 FROM derived UNION ALL SELECT r.query, d.target, hops + 1 FROM r JOIN derived d ON d.source = r.node WHERE hops < 10) SELECT query, count(*) AS origins, max(hops) AS depth FROM r WHERE hops > 0 GROUP BY 1")
@@ -245,7 +245,7 @@ def retention_sweep(spark, d):
 def mark_used_reinforce(spark, d):
     """Edges at returned parts are reinforced."""
     used = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("node"))
-    return lifecycle.mark_used(views.edges(spark, d), used).select("edge_id", "weight")
+    return lifecycle.mark_used(views.edges(spark, d), used).select("edge_id", r4(F.col("weight")).alias("weight"))
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, max(event_id) AS seq FROM events GROUP BY 1")
