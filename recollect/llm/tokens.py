@@ -20,9 +20,9 @@ import pyarrow.compute as pc
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 #: Words in the newer half of a worker's cache; the older half holds as many.
-CACHE = 400_000
+CACHE = 300_000
 #: Characters of texts that are encoded together.
-BLOCK = 1 << 23
+BLOCK = 1 << 22
 _ODD = re.compile(r"[.,](?<![^\W_][.,])(?=[ \n])")
 _PAIR = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 #: Bytes that byte-level vocabularies write as code points from 256 on, in this order (fixed values).
