@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recollect.plans import claims, graphs, memory, quality, texts
+from recollect.plans import claims, graphs, memory, quality, texts, upkeep
 from recollect.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "claims", "graphs", "memory", "quality", "texts"]
+__all__ = ["ORACLES", "QUERIES", "claims", "graphs", "memory", "quality", "texts", "upkeep"]
