@@ -56,6 +56,25 @@ def test_communities_split_cliques(spark):
     assert sorted(map(len, groups.values())) == [6, 6]
 
 
+def test_modular_communities_find_the_groups(spark):
+    pairs = [(a, b, 1.0) for g in "abcd" for a, b in itertools.combinations([f"{g}{i}" for i in range(5)], 2)] + [("a0", "b0", 0.1), ("b1", "c0", 0.1), ("c1", "d0", 0.1)]
+    adj = graph.adjacency(spark.createDataFrame(pairs, "source string, target string, weight double"))
+    members = graph.modular_communities(adj)
+    groups = {}
+    for r in members.collect():
+        groups.setdefault(r["community"], set()).add(r["node"])
+    assert sorted(map(sorted, groups.values())) == [[f"{g}{i}" for i in range(5)] for g in "abcd"]
+    inside, whole, of = 0.0, 0.0, {n: c for c, ns in groups.items() for n in ns}
+    weight = dict.fromkeys(groups, 0.0)
+    for a, b, w in pairs:
+        whole += 2 * w
+        weight[of[a]] += w
+        weight[of[b]] += w
+        inside += 2 * w * (of[a] == of[b])
+    assert abs(graph.modularity(adj, members) - (inside / whole - sum((w / whole) ** 2 for w in weight.values()))) < 1e-9
+    assert graph.modular_communities(adj.where("false")).count() == 0
+
+
 def test_communities_run_until_no_label_moves(spark):
     pairs = [(f"n{i:02}", f"n{i + 1:02}", 1.0) for i in range(13)]
     adj = graph.adjacency(spark.createDataFrame(pairs, "source string, target string, weight double"))
