@@ -135,14 +135,6 @@ def communities(spark, d):
     return found.select("community", "size", "centroid", F.array_join("top_labels", ",").alias("top_labels"))
 
 
-@query()
-def communities_modular(spark, d):
-    """Communities of greatest modularity found by moves, with their centroids; tested against known groups."""
-    adj = materialize(graph.adjacency(views.edges(spark, d)), "adjacency")
-    found = graph.community_rollup(graph.modular_communities(adj), adj)
-    return found.select("community", "size", "centroid", F.array_join("top_labels", ",").alias("top_labels"))
-
-
 SCORE = f"""
 parts AS (SELECT node, created_at, access_count, {R4("pow(0.5::DOUBLE, greatest((epoch(TIMESTAMP '2024-02-01') - floor(epoch(created_at))) / 86400.0::DOUBLE, 0.0::DOUBLE) / 365.0::DOUBLE)")} AS recency, {R4('least(1.0::DOUBLE, ln(1 + access_count::DOUBLE) / ln(51.0::DOUBLE))')} AS frequency FROM rich)"""
 
