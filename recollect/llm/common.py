@@ -47,22 +47,38 @@ def crc_fold(id_col: str, folds: int):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
 
 
+#: A key with more than this part of the rows is hot; there are fewer hot keys than its inverse.
+HOT = 1 / 1000
+
+
+def with_least(rows: DataFrame, key: str, value: str, least: str) -> DataFrame:
+    """``rows`` with ``least``, the least ``value`` of the rows of their ``key`` (rows with a null key are left out).
+
+    The minimum is combined before its shuffle. Rows of a hot key are joined where they lie, by a broadcast of
+    fewer than 1 / ``HOT`` keys; only the others are shuffled by key, so no task holds a hot key's rows.
+    ``rows`` is read three times: hand over a written table.
+    """
+    low = materialize(rows.groupBy(key).agg(F.min(value).alias(least), F.count("*").alias("n_of_key")), "least")
+    bound = (low.agg(F.sum("n_of_key")).first()[0] or 0) * HOT
+    hot = F.broadcast(low.where(F.col("n_of_key") > bound).drop("n_of_key"))
+    rest = low.where(F.col("n_of_key") <= bound).drop("n_of_key")
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(rest, key))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node it reaches.
 
-    Alternating large-star and small-star steps; each step is a grouped minimum
-    (combined before the shuffle) and an equi-join, and every round is written to
-    the shared folder, so lineage stays short. Empty edges give no rows.
+    Alternating large-star and small-star steps; each step is ``with_least`` over a table
+    written to the shared folder, so lineage stays short and a node with very many
+    neighbours is in no single task. Empty edges give no rows.
     """
     pairs = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     for _ in range(max_rounds):
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v")
-        pairs = materialize(small.distinct(), "edges")
+        large = with_least(both, "u", "v", "m").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        small = with_least(materialize(large, "edges"), "u", "v", "m").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e"))
+        pairs = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -150,9 +150,8 @@ def grouped(rows: DataFrame, radius: int, tile: int) -> DataFrame:
     """(fingerprint, component_id) of the distinct fingerprints of ``rows``."""
     classes = common.materialize(rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("first")), "classes")
     roots = common.components(links(classes.select("fp"), radius, tile))
-    joined = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    return joined.join(least, "root").select(F.col("fp").alias("fingerprint"), "component_id", "root")
+    joined = common.materialize(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
+    return common.with_least(joined, "root", "first", "component_id").select(F.col("fp").alias("fingerprint"), "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, tile: int = 4096) -> DataFrame:

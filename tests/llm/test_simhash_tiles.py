@@ -75,6 +75,30 @@ def test_components_chain(spark):
     assert len(got) == 41 and set(got.root) == {0}
 
 
+def test_components_of_hubs_and_chains(spark):
+    rng = np.random.default_rng(5)
+    hub = [(5000, int(x)) for x in rng.choice(5000, 3000, replace=False)]
+    loose = [(10_000 + int(x), 10_000 + int(y)) for x, y in rng.integers(0, 3000, (2500, 2))]
+    edges = hub + loose + [(i, i + 7) for i in range(20_000, 20_100)]
+    label = {v: v for e in edges if e[0] != e[1] for v in e}
+    while True:
+        before = dict(label)
+        for u, v in edges:
+            if u != v:
+                label[u] = label[v] = min(label[u], label[v])
+        if label == before:
+            break
+    got = common.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len(label) and {r["node"]: r["root"] for r in got} == label
+
+
+@pytest.mark.parametrize("rows", [[], [(1, 5), (1, 3), (2, 9), (None, 1)], [(1, i) for i in range(50)] + [(i, i) for i in range(2, 3000)]])
+def test_with_least(spark, rows):
+    frame = common.materialize(spark.createDataFrame(rows, "k long, v long"), "rows")
+    least = {k: min(v for x, v in rows if x == k) for k, _ in rows[:51]} | {k: v for k, v in rows[51:]}
+    assert sorted(map(tuple, common.with_least(frame, "k", "v", "m").collect())) == sorted((k, v, least[k]) for k, v in rows if k is not None)
+
+
 def test_columns_of_the_caller_stay(spark):
     names = ["id", "_id", "key", "key_of", "spans", "least", "__key", "__id", "a.b"]
     docs = spark.createDataFrame([(i, t, *[100 + i] * len(names)) for i, t in enumerate(["write to me@example.org now", "quite another text with many words", None])], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
