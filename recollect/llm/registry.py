@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from recollect.llm import langid, matroska, mixing, packing, pii, simhash_blocks, simhash_tiles, suffixes, token_files, toxicity
+from recollect.llm import langid, matroska, mixing, packing, pii, simhash_blocks, simhash_tiles, suffixes, token_files, toxicity, url_filter
 
-MODULES = [toxicity, simhash_blocks, mixing, matroska, langid, packing, token_files, simhash_tiles, suffixes, pii]
+MODULES = [toxicity, simhash_blocks, mixing, matroska, langid, packing, token_files, simhash_tiles, suffixes, pii, url_filter]
 
 
 def queries() -> dict:
