@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from recollect.llm import langid, lexical_search, matroska, mixing, packing, pii, simhash_blocks, simhash_tiles, suffixes, token_files, toxicity, url_filter
+from recollect.llm import langid, lexical_search, matroska, mixing, packing, pii, prefix_trie, simhash_blocks, simhash_tiles, suffixes, token_files, toxicity, url_filter
 
-MODULES = [toxicity, simhash_blocks, mixing, matroska, langid, packing, token_files, simhash_tiles, suffixes, pii, url_filter, lexical_search]
+MODULES = [toxicity, simhash_blocks, mixing, matroska, langid, packing, token_files, simhash_tiles, suffixes, pii, prefix_trie, url_filter, lexical_search]
 
 
 def queries() -> dict:
