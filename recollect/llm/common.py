@@ -16,10 +16,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, a laptop) a temporary folder is set.
+    Only a local session that has none (tests, a laptop) gets a temporary folder; a cluster without one is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -42,6 +44,19 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return found
 
 
+def beside(docs: DataFrame, read: str, keep: list[str], run, results: list[tuple[str, str]]) -> DataFrame:
+    """The columns ``keep`` of ``docs``, whatever their names, and ``results`` (name, type), which ``run`` makes.
+
+    ``run`` maps Arrow batches of the column ``read`` and the kept ones to batches of the kept and the new ones. A kept column may
+    not have the name of a result.
+    """
+    if clash := {c.lower() for c in keep} & {n.lower() for n, _ in results}:
+        raise ValueError(f"kept columns have the names of results: {sorted(clash)}")
+    told = docs.select(F.col(f"`{read}`").alias("read"), *[F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)])
+    ddl = [f"{name} {kind}" for name, kind in told.dtypes[1:]] + [f"new_{i} {kind}" for i, (_, kind) in enumerate(results)]
+    return told.mapInArrow(run, ", ".join(ddl)).toDF(*keep, *[n for n, _ in results])
+
+
 def crc_fold(id_col: str, folds: int):
     """crc32 of the id as text, modulo ``folds``."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
@@ -65,6 +80,17 @@ def with_least(rows: DataFrame, key: str, value: str, least: str) -> DataFrame:
     return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(rest, key))
 
 
+def hot_join(rows: DataFrame, side: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``side``, whose column ``weight`` tells how many of the ``total`` rows have its key.
+
+    Rows of a hot key are joined where they lie, by a broadcast of the fewer than 1 / ``HOT`` such keys; only the others
+    are shuffled. ``rows`` is read three times and ``side`` twice: hand over written tables. Null keys meet nothing.
+    """
+    bound = total * HOT
+    hot = F.broadcast(side.where(F.col(weight) > bound))
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on).distinct(), on, "left_anti").join(side.where(F.col(weight) <= bound), on))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node it reaches.
 

@@ -189,8 +189,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``keep`` columns and (lang_pred, score), or what ``names`` calls them, of every row."""
-    fields = docs.select(*keep).schema
+    """``keep`` columns and (lang_pred, score), or what ``names`` calls them, of every row; a kept column may not have such a name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,10 +199,9 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str
             if known:
                 p = softmax((sums([texts[i] for i in known], model.table) + model.bias) / model.temperature)
                 lang[known], score[known] = np.array(model.langs, object)[p.argmax(axis=1)], p.max(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names[1:], *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names[1:], "new_0", "new_1"])
 
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{names[0]}` string, `{names[1]}` double"])
-    return docs.select(F.col(text_col).alias("__text"), *keep).mapInArrow(run, ddl)
+    return common.beside(docs, text_col, keep, run, [(names[0], "string"), (names[1], "double")])
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ A rate below one leaves some documents out: that is the sampling asked for.
 By default a source's target weight is the square root of its size. Null sources form one source
 of their own and stay null; null text has size 0; a source of size 0 has rate 1. Rows with equal ids are copied
 equally often. An empty table gives no rows. Other columns, whatever their names, are carried along unchanged,
-but those named ``copy`` or ``shuffle_key`` are replaced.
+but those with the names of the two new ones (``copy`` and ``shuffle_key``, or what ``names`` says) are replaced.
 """
 
 from __future__ import annotations
@@ -61,8 +61,8 @@ def uniform(*parts):
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = SEED, **target) -> DataFrame:
-    """``docs`` with ``copy`` (from 1) and ``shuffle_key``, in the order of that key.
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = SEED, names: tuple[str, str] = ("copy", "shuffle_key"), **target) -> DataFrame:
+    """``docs`` with ``copy`` (from 1) and ``shuffle_key``, or what ``names`` calls them, in the order of that key.
 
     The distributions of the ``FEW`` sources with the most rows are broadcast; each other source has less than
     a ``FEW``-th of all rows, and is joined by a shuffle.
@@ -71,7 +71,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     most = found.orderBy(F.desc("rows"), "source").limit(FEW).select("source")
     table = distributions(found).select("source", "below")
     heavy, light = (table.join(F.broadcast(most.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")), how) for how in ("left_semi", "left_anti"))
-    columns = docs.drop("copy", "shuffle_key").columns
+    columns = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in {n.lower() for n in names}]
+    number, place = names
     keyed = docs.select(F.struct(*columns).alias("row"), F.col(source_col).cast("string").alias("from"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("ident"))
     same = F.col("from").eqNullSafe(F.col("source"))
     joined = keyed.join(F.broadcast(heavy), same, "left")
@@ -80,8 +81,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     n = F.size(F.filter("below", lambda c: c <= F.col("u")))
     counted = joined.withColumn("u", uniform(F.lit(seed), F.col("ident"))).withColumn("n", n).where("n > 0")
     copies = counted.select("row", "ident", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
-    mixed = copies.select("row.*", "copy", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), "ident", F.col("copy").cast("string"))).alias("shuffle_key"))
-    return mixed.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
+    mixed = copies.select("row.*", F.col("copy").alias(number), F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), "ident", F.col("copy").cast("string"))).alias(place))
+    return mixed.repartitionByRange(place).sortWithinPartitions(place)
 
 
 def op3_poisson_mix(spark, sf_dir: str) -> DataFrame:

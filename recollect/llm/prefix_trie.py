@@ -145,13 +145,6 @@ def prefixes(found: DataFrame, convs: DataFrame, order: list[str] | None = None)
     return common.materialize(scan(rows, [F.col(c) for c in order], ["chars"], "prefixes").withColumnRenamed("at", "depth"), "prefixes")
 
 
-def _hot_join(rows: DataFrame, side: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
-    """Inner join in which the rows of a hot key of ``side`` (``weight`` of them) stay where they lie: fewer than 1 / HOT keys are broadcast."""
-    bound = total * common.HOT
-    hot = F.broadcast(side.where(F.col(weight) > bound))
-    return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(side.where(F.col(weight) <= bound), on))
-
-
 def _roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Totals of the nodes of whole components, which arrive one after another."""
 
@@ -340,7 +333,7 @@ def trie(rows: DataFrame) -> DataFrame:
     nodes = nodes.join(children, ["a", "b"], "left").withColumn("n_children", F.coalesce("n_children", F.lit(0).cast("long")))
     nodes = common.materialize(nodes.withColumn("leaf", (F.col("n_children") == 0).cast("long")).withColumn("saved", (F.col("n_convs") - 1) * F.col("chars")), "nodes")
     parents = nodes.where("n_children > 0").select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("conv_id").alias("parent_conv_id"), "n_children")
-    inner = _hot_join(nodes.where("depth > 0").select("a", "b", "pa", "pb"), parents, ["pa", "pb"], "n_children", nodes.count()).select("a", "b", "parent_conv_id")
+    inner = common.hot_join(nodes.where("depth > 0").select("a", "b", "pa", "pb"), parents, ["pa", "pb"], "n_children", nodes.count()).select("a", "b", "parent_conv_id")
     totals, digests = subtree_totals(nodes, rows), end_digests(rows)
     full = nodes.join(totals.withColumnRenamed("saved", "saved_tokens"), ["a", "b"]).join(inner, ["a", "b"], "left").join(digests, ["a", "b"], "left")
     none = F.lit(hashlib.sha256(b"").hexdigest())

@@ -147,24 +147,30 @@ def links(distinct: DataFrame, radius: int = 2, tile: int = 4096) -> DataFrame:
 
 
 def grouped(rows: DataFrame, radius: int, tile: int) -> DataFrame:
-    """(fingerprint, component_id) of the distinct fingerprints of ``rows``."""
-    classes = common.materialize(rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("first")), "classes")
+    """(fingerprint, component_id, root, n) of the distinct fingerprints of ``rows``; n of them have it."""
+    classes = common.materialize(rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
     roots = common.components(links(classes.select("fp"), radius, tile))
-    joined = common.materialize(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
-    return common.with_least(joined, "root", "first", "component_id").select(F.col("fp").alias("fingerprint"), "component_id", "root")
+    joined = common.materialize(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")), "roots")
+    return common.with_least(joined, "root", "first", "component_id").select(F.col("fp").alias("fingerprint"), "component_id", "root", "n")
+
+
+def labelled(rows: DataFrame, radius: int, tile: int) -> DataFrame:
+    """``rows`` with their groups; rows of a fingerprint that very many share stay in the tasks where they lie."""
+    found = common.materialize(grouped(rows, radius, tile), "groups")
+    return common.hot_join(rows, found, ["fingerprint"], "n", found.agg(F.sum("n")).first()[0] or 0)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, tile: int = 4096) -> DataFrame:
     """(doc_id, fingerprint string, component_id) for every row of ``docs``."""
     rows = common.materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    return rows.join(grouped(rows, radius, tile), "fingerprint").select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+    return labelled(rows, radius, tile).select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, tile: int = 4096) -> DataFrame:
     """``docs`` with one row of each component: that of the least id (rows without an id come last)."""
     rows = common.materialize(fingerprints(docs, id_col, text_col, hashed=True), "fingerprints")
     place = F.struct(F.isnull("doc_id"), F.col("doc_id"), F.col("key"))
-    first = rows.join(grouped(rows, radius, tile), "fingerprint").groupBy("root").agg(F.min(place).alias("first"))
+    first = labelled(rows, radius, tile).groupBy("root").agg(F.min(place).alias("first"))
     ident, key, least = common.unused(docs.columns, "id", "key", "least")
     kept = first.select(F.col("first.doc_id").alias(ident), F.col("first.key").alias(least))
     keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))

@@ -268,8 +268,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     extra = cut.where("start is not null").join(across, "key").select("th", "start", (F.col("start") + min_words).alias("end"))
     whole = seeds.where("seed is null").select("th", F.col("pos").alias("words")).dropDuplicates(["th"]).join(groups.where("copies > 1"), "th").where(F.col("words") >= min_words).select("th", F.lit(0).cast("long").alias("start"), F.col("words").alias("end"))
     spans = compared.where("key is null").select("th", "start", "end").unionByName(extra).union(whole)
-    found = islands(spans, ["th"])
-    return names.join(found, "th").select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("start")).alias("n_words"))
+    found = common.materialize(islands(spans, ["th"]).join(groups.select("th", "copies"), "th"), "passages")
+    return common.hot_join(names, found, ["th"], "copies", names.count()).select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("start")).alias("n_words"))
 
 
 def op9_sparse_suffix_array(spark, sf_dir: str) -> DataFrame:

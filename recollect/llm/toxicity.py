@@ -116,8 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positive
 
 
 def score(docs: DataFrame, weights: dict, biases: tuple, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` columns and (score, predicted) of every row."""
-    fields = docs.select(*keep).schema
+    """``keep`` columns and (score, predicted) of every row; a kept column may not have such a name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = weights.keys()
@@ -127,10 +126,9 @@ def score(docs: DataFrame, weights: dict, biases: tuple, keep: list[str], text_c
                 hits = [weights[t] for t in terms(text) & known]
                 sums = [b + math.fsum(h[k] for h in hits) for k, b in enumerate(biases)]
                 out.append(sum(1 / (1 + math.exp(-max(-500.0, s))) for s in sums) / len(sums) if sums else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.float64()), pa.array([int(s >= 0.5) for s in out], pa.int32())], [*batch.schema.names[1:], "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.float64()), pa.array([int(s >= 0.5) for s in out], pa.int32())], [*batch.schema.names[1:], "new_0", "new_1"])
 
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double, predicted int"])
-    return docs.select(F.col(text_col).alias("__text"), *keep).mapInArrow(run, ddl)
+    return common.beside(docs, text_col, keep, run, [("score", "double"), ("predicted", "int")])
 
 
 def op1_toxicity_nnpu(spark, sf_dir: str) -> DataFrame:

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recollect.llm import common
+
 ALLOW, BLOCK = "allow", "block"
 #: Rules are handed to every task, so their number is bounded.
 MAX_RULES = 100_000
@@ -251,23 +253,19 @@ def labelled(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], model: Model, keep: list[str], url_col: str = "url") -> DataFrame:
     """``keep`` columns and (host, path, rule, verdict, score); score is the trees' probability of ``block``."""
-    names = ["host", "path", "rule", "verdict", "score"]
-    if clash := {c.lower() for c in keep} & {*names}:
-        raise ValueError(f"kept columns have the names of results: {sorted(clash)}")
-    fields, known = pages.select(*keep).schema, Rules(rules)
+    known = Rules(rules)
     shipped = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            urls = batch.column(batch.num_columns - 1).to_pylist()
+            urls = batch.column(0).to_pylist()
             split = [parts(u) for u in urls]
             found, score = [known.find(s[0], s[1]) for s in split], shipped.value.predict(urls)
             verdict = [v or (BLOCK if p >= 0.5 else ALLOW) for (_, v), p in zip(found, score, strict=True)]
             out = [pa.array([s[0] for s in split], pa.string()), pa.array([s[1] for s in split], pa.string()), pa.array([r for r, _ in found], pa.string()), pa.array(verdict, pa.string()), pa.array(score)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out], [*batch.schema.names[:-1], *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *out], [*batch.schema.names[1:], *(f"new_{i}" for i in range(5))])
 
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "host string, path string, rule string, verdict string, score double"])
-    return pages.select(*keep, F.col(url_col)).mapInArrow(run, ddl)
+    return common.beside(pages, url_col, keep, run, [("host", "string"), ("path", "string"), ("rule", "string"), ("verdict", "string"), ("score", "double")])
 
 
 #: Rules of the query: fixed values.

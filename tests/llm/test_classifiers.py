@@ -146,3 +146,15 @@ def test_ftrl_against_a_plain_version(monkeypatch):
                     n[i, c] = before + g * g
     plain = np.array([[weight(i, c) for c in range(classes)] for i in range(size + 1)])
     assert np.allclose(weights, plain[:size]) and np.allclose(bias, plain[size])
+
+
+def test_kept_columns_of_any_name(spark):
+    """A caller's columns named like the operators' own ones stay as they are; names of results are refused."""
+    docs = spark.createDataFrame([(i, f"the cat {i} and the dog", "en" if i % 2 else "fr", f"own {i}", 1.5, i) for i in range(40)], "doc_id long, text string, lang string, __text string, `a.b` double, _text long")
+    keep = ["doc_id", "__text", "a.b", "_text", "text"]
+    for got in (langid.predict(docs, langid.fit(docs), keep), toxicity.score(docs, {}, (), keep)):
+        assert got.columns[:5] == keep and {(r[0], r[1], r[2], r[3], r[4]) for r in got.collect()} == {(i, f"own {i}", 1.5, i, f"the cat {i} and the dog") for i in range(40)}
+    with pytest.raises(ValueError):
+        langid.predict(docs.withColumnRenamed("__text", "Score"), None, ["doc_id", "Score"])
+    with pytest.raises(ValueError):
+        toxicity.score(docs.withColumnRenamed("__text", "predicted"), {}, (), ["doc_id", "predicted"])

@@ -67,16 +67,18 @@ def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0 and corpus_pipeline.ORACLE_SQL is None
 
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, copy int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, copy int, __text string, shuffle_key string, `a.b` int"
 
 
 def test_odd_rows_go_through(spark, tmp_path):
     rows = [(None, "no id here", "en", None, None, "s", 1), (None, "no id here", "en", None, None, "s", 1), (1, None, None, None, None, None, None), (2, "x y z", None, "a", 5, "s", 2), (2, "x y z", None, "a", 5, "s", 2), (3, "call +49 30 1234567 " + "w " * 30_000, "en", "a", 5, "s", 3), (4, "", "en", "b", 0, "s", 4)]
+    rows = [(*r, f"t{r[0]}", f"k{r[0]}", 7) for r in rows]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     docs = common.documents(spark, str(tmp_path))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before, docs = docs.columns, common.materialize(stage(spark, docs, str(tmp_path)), name)
         assert docs.columns == before
+        assert all((r["__text"], r["shuffle_key"], r["a.b"]) == (f"t{r['doc_id']}", f"k{r['doc_id']}", 7) and r["copy"] in (1, 2, 3, 4) for r in docs.collect())
         if name == "near_duplicates":
             assert sorted(str(r["doc_id"]) for r in docs.collect()) == ["2", "3", "None"]
         if name == "personal_data":

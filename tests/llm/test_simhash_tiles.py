@@ -105,3 +105,32 @@ def test_columns_of_the_caller_stay(spark):
     got = simhash_tiles.keep_first(docs)
     assert got.columns == docs.columns and got.count() == 3
     assert all(r[2:] == (100 + r["doc_id"],) * len(names) for r in got.collect())
+
+
+@pytest.mark.parametrize("rows, on", [(3000, 1000), (3000, 0)])
+def test_hot_rows_stay_where_they_lie(spark, rows, on):
+    """A third of the rows has one key: no task holds them, whatever the number of tasks."""
+    frame = common.materialize(spark.createDataFrame([(7 if i < on else 100 + i, i) for i in range(rows)], "k long, v long").repartition(12), "rows")
+    side = common.materialize(frame.groupBy("k").agg(common.F.count("*").alias("n"), common.F.min("v").alias("low")), "side")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = common.hot_join(frame, side, ["k"], "n", rows)
+        most = max(r["count"] for r in got.groupBy(common.F.spark_partition_id()).count().collect())
+    finally:
+        for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(k)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    least = {k: min(r["v"] for r in frame.collect() if r["k"] == k) for k in (7,)} if on else {}
+    assert most < rows / 3 and sorted(map(tuple, got.select("k", "v", "low").collect())) == sorted((7 if i < on else 100 + i, i, least.get(7, i) if i < on else i) for i in range(rows))
+
+
+def test_third_of_texts_equal(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, "the same words again and again" if i % 3 == 0 else " ".join(f"w{x}" for x in rng.integers(0, 500, 12)) if i % 3 == 1 else None) for i in range(3600)]
+    got = simhash_tiles.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = {r["doc_id"]: r["component_id"] for r in got}
+    assert len(got) == 3600 and all(by[i] == i % 3 for i in range(3600) if i % 3 != 1)
+    kept = simhash_tiles.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(by.values()))

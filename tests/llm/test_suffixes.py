@@ -136,3 +136,11 @@ def test_very_long_text(spark):
     rows = [(1, " ".join(words)), (2, " ".join(words[70_000:70_080])), (3, " ".join(words[5:54])), (4, "a " * 60_000), (5, "a " * 51)]
     got = sorted((tuple(r) for r in suffixes.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == brute(rows)
+
+
+def test_third_of_texts_equal(spark):
+    """The rows of a text that a third of the documents are stay where they lie, and all are found."""
+    line = " ".join(f"word{i}" for i in range(70))
+    rows = [(i, line if i % 3 == 0 else f"own {i} " + " ".join(f"x{i}y{k}" for k in range(60))) for i in range(3000)]
+    got = suffixes.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == [(i, 0, 70, 70) for i in range(0, 3000, 3)]

@@ -51,7 +51,7 @@ def test_query_whole_table(spark):
 def test_odd_rows_and_clashing_names(spark):
     rows = [(i, url, "x") for i, url in enumerate(ODD)] + [(None, "http://x.org/", "x"), (3, "http://x.org/", "x"), (3, "http://x.org/", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, blocked string")
-    got = u.judge(pages, u.RULES, u.fit(u.labelled(pages, u.RULES)), ["page_id", "blocked"]).collect()
+    got = u.judge(pages, u.RULES, u.fit(u.labelled(pages, u.RULES)), ["page_id", "blocked", "url"]).collect()
     assert len(got) == len(rows) and all(r["verdict"] in ("allow", "block") and 0 <= r["score"] <= 1 for r in got)
     with pytest.raises(ValueError):
         u.judge(pages.withColumnRenamed("blocked", "Score"), u.RULES, u.Model(np.zeros((u.BUCKETS, u.FOLDS, 3), np.int64), 0.0, None), ["Score"])
