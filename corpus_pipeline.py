@@ -17,10 +17,15 @@ MIN_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; the model learns from their own ``lang`` column."""
+    """Documents with a language; the model learns from their own ``lang`` column.
+
+    Null texts and those without a letter go; a null ``lang`` is learnt from by none and judged like any other. Repeated rows and
+    rows without id are judged each. Where no row has a ``lang`` there is no model and every row goes; an empty table stays empty.
+    """
     columns = docs.columns
-    found = langid.predict(docs, langid.fit(docs), columns, names=("__lang", "__score"))
-    return found.where((F.col("__lang") != "und") & (F.col("__score") >= MIN_SCORE)).select(*columns)
+    lang, score = common.unused(columns, "lang_pred", "score")
+    found = langid.predict(docs, langid.fit(docs), columns, names=(lang, score))
+    return found.where((F.col(lang) != "und") & (F.col(score) >= MIN_SCORE)).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +43,21 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to the sources' target weights, in a global random order."""
-    return mixing.mix(docs).select(*docs.columns)
+    """Documents repeated to the sources' target weights, in a global random order.
+
+    Null sources are one source; a null text has size 0; rows with equal ids are repeated equally often. Columns of any
+    name stay as they are; an empty table stays empty.
+    """
+    names = tuple(common.unused(docs.columns, "copy", "shuffle_key"))
+    return mixing.mix(docs, names=names).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences.
+
+    Null and empty texts have their end id alone; equal rows, copies and rows without id are packed each. Other columns are
+    not read. An empty table gives no piece.
+    """
     return packing.pack(docs)
 
 
