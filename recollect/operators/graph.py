@@ -31,15 +31,55 @@ def neighbours(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return adjacency(edges).join(ids.select(F.col("node").alias("src")), "src").select(F.col("src").alias("node"), F.col("dst").alias("neighbour"))
 
 
-def hops(connected: DataFrame, anchors: DataFrame, depth: int = 3) -> DataFrame:
-    """(query, node, hops) of all nodes within ``depth`` of a query's anchors: a walk without strengths."""
+#: Queries whose walks share a row: the bits of a long, but for its sign.
+BITS = 63
+#: Groups of queries up to this number are broadcast, with the queries' names; above it they are joined by a shuffle.
+FEW = 10_000
+
+
+def numbered(queries: DataFrame) -> DataFrame:
+    """(__part, queries) of the distinct ``queries`` (query) in arrays of up to ``BITS``; a query's place is its bit."""
+    blocks = max(1, queries.agg(F.approx_count_distinct("query")).first()[0] // (BITS // 2))
+    dealt = queries.select("query").distinct().withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+    place = dealt.withColumn("n", F.row_number().over(Window.partitionBy("block").orderBy("query")) - 1)
+    part = F.concat_ws(":", "block", F.floor(F.col("n") / BITS)).alias("__part")
+    return place.groupBy(part).agg(F.array_sort(F.collect_list(F.struct("n", "query"))).getField("query").alias("queries"))
+
+
+def bit_hops(connected: DataFrame, anchors: DataFrame, depth: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(__part, node, hops, __bits) of a walk without strengths for all queries at once, and the ``numbered`` queries.
+
+    A node has a row for each part of the queries and each distance, whose bits are the queries that reach it first at that distance. One step is
+    one join on the node and a bitwise or that combines before its shuffle; the bits of what was visited are cleared. So rows
+    grow with the nodes, not with nodes times queries.
+    """
     connected = materialize(connected, "connections")
-    levels = [materialize(anchors.select("query", "node", F.lit(0).alias("hops")).distinct(), "level")]
+    names = materialize(numbered(anchors), "queries")
+    bit = F.expr("shiftleft(1L, n)")
+    told = names.select("__part", F.posexplode("queries").alias("n", "query"))
+    start = anchors.join(told, "query").groupBy("__part", "node").agg(F.bit_or(bit).alias("__bits"))
+    seen = materialize(start.withColumns({"visited": F.col("__bits"), "hops": F.lit(0)}), "level")
+    levels = [seen.select("__part", "node", "hops", "__bits")]
     for hop in range(1, depth + 1):
-        visited = reduce(DataFrame.unionByName, levels).select("query", F.col("node").alias("dst"))
-        step = levels[-1].select("query", F.col("node").alias("src")).join(connected, "src").select("query", "dst").distinct()
-        levels.append(materialize(step.join(visited, ["query", "dst"], "left_anti").select("query", F.col("dst").alias("node"), F.lit(hop).alias("hops")), "level"))
-    return reduce(DataFrame.unionByName, levels)
+        step = seen.where("__bits <> 0").select("__part", F.col("node").alias("src"), "__bits").join(connected, "src").groupBy("__part", F.col("dst").alias("node")).agg(F.bit_or("__bits").alias("reached"))
+        met = step.join(seen.select("__part", "node", "visited"), ["__part", "node"], "full_outer" if hop < depth else "left")
+        before, reached = F.coalesce("visited", F.lit(0).cast("long")), F.coalesce("reached", F.lit(0).cast("long"))
+        fresh = reached.bitwiseAND(F.bitwise_not(before))
+        seen = materialize(met.select("__part", "node", fresh.alias("__bits"), before.bitwiseOR(reached).alias("visited"), F.lit(hop).alias("hops")), "level")
+        levels.append(seen.where("__bits <> 0").select("__part", "node", "hops", "__bits"))
+    return reduce(DataFrame.unionByName, levels), names
+
+
+def by_query(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """``rows`` (__part, bits, ...) once for each of their queries: (query, ...)."""
+    known = F.broadcast(names) if names.count() <= FEW else names
+    hit = F.filter(F.transform("queries", lambda q, i: F.when(F.getbit("__bits", i) == 1, F.struct(q.alias("query")))), lambda q: q.isNotNull())
+    return rows.join(known, "__part").select(F.inline(hit), *[c for c in rows.columns if c not in ("__part", "__bits")])
+
+
+def hops(connected: DataFrame, anchors: DataFrame, depth: int = 3) -> DataFrame:
+    """(query, node, hops) of all nodes within ``depth`` of a query's anchors: a walk without strengths."""
+    return by_query(*bit_hops(connected, anchors, depth)).select("query", "node", "hops")
 
 
 def walk(adjacent: DataFrame, anchors: DataFrame, depth: int = 3, paths: bool = False) -> DataFrame:
@@ -86,6 +126,12 @@ def lineage(edges: DataFrame, ids: DataFrame, depth: int = 10) -> DataFrame:
     return reach(edges.where("edge_type = 'derived_from'"), ids, depth).where("hops > 0")
 
 
+def truncated(edges: DataFrame, ids: DataFrame, depth: int = 10) -> DataFrame:
+    """(query, truncated): whether a lineage of ``depth`` steps leaves origins further back unnamed."""
+    beyond = reach(edges.where("edge_type = 'derived_from'"), ids, depth + 1).where(F.col("hops") > depth).select("query").distinct().withColumn("more", F.lit(True))
+    return ids.select("query").distinct().join(beyond, "query", "left").select("query", F.coalesce("more", F.lit(False)).alias("truncated"))
+
+
 def forget_preview(edges: DataFrame, ids: DataFrame, depth: int = 10) -> DataFrame:
     """What was derived from each id."""
     turned = edges.where("edge_type = 'derived_from'").select(F.col("target").alias("source"), F.col("source").alias("target"))

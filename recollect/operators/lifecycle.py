@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.text import r4
 from recollect.operators import graph
 from recollect.operators.recall import decayed
+from recollect.session import materialize
 
 
 def latest(log: DataFrame, key: str, seq: str) -> DataFrame:
@@ -73,6 +76,37 @@ def import_graph(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_e
     return nodes.unionByName(new_nodes.join(nodes.select("node"), "node", "left_anti"), allowMissingColumns=True), edges.unionByName(new_edges.join(edges.select("edge_id"), "edge_id", "left_anti"), allowMissingColumns=True)
 
 
+def forget_order(edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, int]:
+    """(node, layer, cycle) of ``ids`` (node) and all that derives from them, in the order in which they can go; and the number of layers.
+
+    Layer 0 are nodes from which nothing derives, layer n + 1 those from which nothing is left once layer n is gone. Nodes on a cycle, and
+    those from which a cycle derives, never get so far: they go last, together, and are marked. One round is two anti-joins; rounds are as
+    many as the longest derivation.
+    """
+    derived = materialize(edges.where("edge_type = 'derived_from'").select(F.col("source").alias("child"), F.col("target").alias("parent")).distinct(), "derived")
+    front = found = materialize(ids.select("node").distinct(), "found")
+    seen = [found]
+    while not front.isEmpty():
+        step = derived.join(front.withColumnRenamed("node", "parent"), "parent").select(F.col("child").alias("node")).distinct()
+        front = materialize(step.join(found, "node", "left_anti"), "found")
+        seen.append(front)
+        found = reduce(DataFrame.union, seen)
+    left = materialize(found, "left")
+    links = materialize(derived.join(left.withColumnRenamed("node", "child"), "child").join(left.withColumnRenamed("node", "parent"), "parent"), "links")
+    layers: list[DataFrame] = []
+    while not left.isEmpty():
+        leaves = materialize(left.join(links.select(F.col("parent").alias("node")).distinct(), "node", "left_anti"), "leaves")
+        stuck = leaves.isEmpty()
+        gone = left if stuck else leaves
+        layers.append(gone.select("node", F.lit(len(layers)).alias("layer"), F.lit(stuck).alias("cycle")))
+        if stuck:
+            break
+        left = materialize(left.join(gone, "node", "left_anti"), "left")
+        links = materialize(links.join(gone.withColumnRenamed("node", "child"), "child", "left_anti"), "links")
+    empty = ids.select("node").limit(0).select("node", F.lit(0).alias("layer"), F.lit(False).alias("cycle"))
+    return reduce(DataFrame.unionByName, layers, empty), len(layers)
+
+
 def forget(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges without ``ids``: pinned empty tombstones take their place as origins of what was derived from them."""
     gone = ids.select("node").distinct().join(nodes.where("node like 'tombstone:%'"), "node", "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.text import normalize_label, r4
-from recollect.operators import extract, graph, resolve
+from recollect.operators import extract, graph, resolve, substrings, vectors
 from recollect.session import materialize
 
 # Weights and bounds of the score, and the words that keyword anchors ignore (fixed values).
@@ -58,31 +58,29 @@ def as_of_reason(as_of: Column | None, node_type: Column, valid_from: Column, va
     return reason.when(invalidated.isNotNull(), "invalidated")
 
 
-def keyword_anchors(nodes: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """(query, node, rank): newest nodes whose label or content contains any word of the query.
+def keyword_texts(nodes: DataFrame) -> DataFrame:
+    """(node, text) in which keywords are looked for: label and content of all nodes but contexts, in lower case."""
+    return nodes.where("node_type <> 'context'").select("node", F.lower(F.concat_ws(" ", "label", "content")).alias("text"))
 
-    Queries are few against nodes; words are matched by substring, as the operator defines.
+
+def keyword_anchors(nodes: DataFrame, queries: DataFrame, limit: int = 10, index: DataFrame | None = None) -> DataFrame:
+    """(query, node, rank): newest nodes whose label or content contains any word of the query, as a substring.
+
+    ``index`` are written ``substrings.postings`` of ``keyword_texts`` of the nodes.
     """
     words = queries.select("query", F.explode(F.array_except(F.split(F.lower("text"), r"\s+"), F.array(*map(F.lit, KEYWORD_STOP)))).alias("word")).where("word <> ''")
-    hits = nodes.where("node_type <> 'context'").join(words, F.contains(F.lower(F.concat_ws(" ", "label", "content")), F.col("word"))).select("query", "node", "created_at").distinct()
+    found = substrings.search(keyword_texts(nodes), words, index)
+    hits = words.join(found, "word").select("query", "node").distinct().join(nodes.select("node", "created_at"), "node")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("created_at"), "node"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= limit).select("query", "node", "rank")
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
-    """(query, item, similarity, rank): the k nearest by cosine; similarity is 1 / (1 + distance).
+def knn(embedded: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
+    """(query, item, similarity, rank): the k nearest of ``embedded`` (vec_id, embedding) by cosine; similarity is 1 / (1 + distance).
 
-    ``queries`` (query, embedding) are a stated set; every block of vectors keeps its k
-    best of each query before anything is shuffled.
+    ``queries`` (query, embedding) are a stated set; they meet the vectors in tiles. For less work on many vectors see ``vectors.inverted_file``.
     """
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    v = vectors.select(F.col("vec_id").alias("item"), F.col("embedding").alias("ve"), norm("embedding").alias("vn"))
-    q = queries.select("query", F.col("embedding").alias("qe"), norm("embedding").alias("qn"))
-    dot = F.aggregate(F.zip_with("ve", "qe", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    cosine = F.when((F.col("vn") > 0) & (F.col("qn") > 0), dot / (F.col("vn") * F.col("qn"))).otherwise(0.0)
-    scored = v.join(q, F.col("item") != F.col("query")).select("query", "item", r4(1 / (2 - cosine)).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "item"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return vectors.exact(embedded.select(F.col("vec_id").alias("item"), "embedding"), queries, k)
 
 
 def entity_anchors(nodes: DataFrame, named: DataFrame, below: int = 3, least: float | None = 0.75) -> DataFrame:
@@ -146,19 +144,19 @@ def scored(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, now: Column,
     ``members`` (node, community) boost nodes of the anchors' communities; ``fading`` lets confidence decay up to ``now``
     (nodes then carry source_type, pinned and last_referenced); ``scorer`` maps the rows to a column that replaces the base score.
     """
-    reached = graph.hops(graph.connections(edges), anchors, depth)
+    reached, queries = graph.bit_hops(graph.connections(edges), anchors, depth)
     rows = reached.join(nodes, "node", "left")
     reason = F.when(F.col("node_type").isNull(), "missing").otherwise(as_of_reason(as_of, F.col("node_type"), F.col("valid_from"), F.col("valid_until"), F.lit(None) if include_invalidated else F.col("invalidated_at"), include_context))
-    rows = rows.withColumn("reason", reason)
+    when = F.coalesce("recorded_at", "created_at") if "recorded_at" in nodes.columns else F.col("created_at")
+    rows = rows.withColumns({"reason": reason, "recency": recency(now, when), "frequency": frequency(F.col("access_count")), "proximity": proximity(F.col("hops"))})
+    rows = graph.by_query(rows.withColumn("base", three_factor(F.col("recency"), F.col("frequency"), F.col("proximity"))), queries)
     rows = rows.join(similarity.select("query", "node", "similarity"), ["query", "node"], "left") if similarity is not None else rows.withColumn("similarity", F.lit(None).cast("double"))
     boost = F.lit(0.0)
     if members is not None:
         home = anchors.select("query", "node").join(members, "node").select("query", "community").distinct().withColumn("__home", F.lit(True))
         rows = rows.join(members.select("node", "community"), "node", "left").join(home, ["query", "community"], "left")
         boost = F.when(F.col("__home"), BOOST).otherwise(0.0)
-    when = F.coalesce("recorded_at", "created_at") if "recorded_at" in nodes.columns else F.col("created_at")
-    rows = rows.withColumns({"recency": recency(now, when), "frequency": frequency(F.col("access_count")), "proximity": proximity(F.col("hops")), "boost": boost})
-    rows = rows.withColumn("base", three_factor(F.col("recency"), F.col("frequency"), F.col("proximity")))
+    rows = rows.withColumn("boost", boost)
     rows = rows.withColumn("base", scorer(rows)) if scorer else rows
     sure = F.col("confidence")
     if fading:

@@ -94,8 +94,17 @@ def dedup_greedy(nodes: DataFrame, below: int = 5, least: float = 0.75) -> DataF
 
 
 def remap(edges: DataFrame, names: DataFrame) -> DataFrame:
-    """Edges between canonical nodes, without loops and doubles."""
-    by = lambda c: names.select(F.col("node").alias(c), F.col("canonical").alias(f"__{c}"))
-    moved = edges.join(by("source"), "source", "left").join(by("target"), "target", "left")
-    moved = moved.withColumn("source", F.coalesce("__source", "source")).withColumn("target", F.coalesce("__target", "target")).select(*edges.columns)
-    return moved.where("source <> target").groupBy("source", "target", "edge_type").agg(F.max("weight").alias("weight"))
+    """Edges between canonical nodes, without loops.
+
+    Only edges of which an end moves are touched. One that comes to lie beside others of its type becomes one edge with them: of the
+    greatest weight and the greatest confidence, under the least id of those that lay there before (null if none did).
+    """
+    lost = names.where("node <> canonical")
+    by = lambda c: lost.select(F.col("node").alias(c), F.col("canonical").alias(f"__{c}"))
+    found = edges.join(by("source"), "source", "left").join(by("target"), "target", "left").withColumn("__moved", F.expr("__source is not null or __target is not null"))
+    found = found.withColumn("source", F.coalesce("__source", "source")).withColumn("target", F.coalesce("__target", "target")).drop("__source", "__target").where("source <> target")
+    key = ["source", "target", "edge_type"]
+    changed = found.where("__moved").select(*key).distinct()
+    rest = [c for c in edges.columns if c not in key]
+    merged = found.join(changed, key, "left_semi").groupBy(*key).agg(*[F.min(F.when(~F.col("__moved"), F.col(c))).alias(c) if c == "edge_id" else F.max(c).alias(c) for c in rest])
+    return found.where("not __moved").join(changed, key, "left_anti").select(*edges.columns).unionByName(merged.select(*edges.columns))

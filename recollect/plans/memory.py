@@ -165,7 +165,7 @@ def edge_remap(spark, d):
     part = lambda name, shift: li.select("l_orderkey", (F.col("l_linenumber") - shift).alias("at"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias(name), F.col("l_returnflag").alias(f"{name}_flag"))
     edges = part("source", 0).join(part("target", 1), ["l_orderkey", "at"]).select("source", "target", F.col("source_flag").alias("edge_type"), F.lit(0.5).alias("weight"))
     moved = resolve.remap(edges, resolve.dedup_exact(views.nodes(spark, d).where("node like 'p%'")))
-    return moved.groupBy("source", "target").agg(F.count("*").alias("types"))
+    return moved.groupBy("source", "target").agg(F.count_distinct("edge_type").alias("types"))
 
 
 @query("""

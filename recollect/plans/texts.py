@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recollect.functions import temporal, text
-from recollect.operators import extract
+from recollect.operators import extract, substrings
 from recollect.plans.registry import query
 from recollect.session import materialize, table
 from recollect.sources import files
@@ -36,8 +36,8 @@ SELECT keyword, doc_id, rank FROM (
 """)
 def keyword_search(spark, d):
     """The ten newest documents that contain each keyword."""
-    lower = F.lower("text")
-    hits = table(spark, d, "documents").select("doc_id", F.explode(F.filter(F.array(*map(F.lit, KEYWORDS)), lambda k: F.contains(lower, k))).alias("keyword"))
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("node"), F.lower("text").alias("text"))
+    hits = substrings.search(texts, spark.createDataFrame([(k,) for k in KEYWORDS], "word string")).select(F.col("node").alias("doc_id"), F.col("word").alias("keyword"))
     rank = F.row_number().over(Window.partitionBy("keyword").orderBy(F.desc("doc_id")))
     return hits.withColumn("rank", rank.cast("long")).where("rank <= 10").select("keyword", "doc_id", "rank")
 

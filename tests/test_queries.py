@@ -1,7 +1,9 @@
 """Every registered query of the engine against its SQL, on the smallest tables."""
 
+from datetime import date, datetime
+
 import duckdb
-import pandas as pd
+import pyarrow as pa
 import pytest
 
 from recollect.plans.catalogue import ORACLES, QUERIES
@@ -18,19 +20,22 @@ def sql(sf):
     return con
 
 
-def rows(df: pd.DataFrame) -> list[tuple]:
+def rows(table: pa.Table) -> list[tuple]:
     def plain(v):
         if isinstance(v, float):
             return None if v != v else round(v, 9) + 0.0
-        return None if v is None or v is pd.NaT else v
+        if isinstance(v, date):
+            return (v if isinstance(v, datetime) else datetime(v.year, v.month, v.day)).replace(tzinfo=None)
+        return v
 
-    return sorted((tuple(str(plain(v)) for v in r) for r in df[sorted(df.columns)].itertuples(index=False)))
+    columns = [table.column(c).to_pylist() for c in sorted(table.column_names)]
+    return sorted(tuple(str(plain(v)) for v in r) for r in zip(*columns, strict=True))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, sf, sql, name):
-    got, expect = QUERIES[name](spark, sf).toPandas(), sql.execute(ORACLES[name]).df()
-    assert sorted(got.columns) == sorted(expect.columns)
+    got, expect = QUERIES[name](spark, sf).toArrow(), sql.sql(ORACLES[name]).to_arrow_table()
+    assert sorted(got.column_names) == sorted(expect.column_names)
     assert rows(got) == rows(expect)
 
 
