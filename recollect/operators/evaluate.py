@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.similarity import stems
-from recollect.functions.text import normalize_answer, r4
+from recollect.functions.text import is_refusal, normalize_answer, r4
 
 
 def per_query(results: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
@@ -85,3 +85,63 @@ def streaks(log: DataFrame, key: str, order: list[str], failed: Column) -> DataF
     runs = log.withColumn("__bad", failed.cast("int")).withColumn("__run", F.sum(1 - F.col("__bad")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     sizes = runs.groupBy(key, "__run").agg(F.sum("__bad").alias("bad"))
     return sizes.groupBy(key).agg(F.max("bad").alias("longest"), F.max_by("bad", "__run").alias("current"))
+
+
+def adversarial(answer: Column) -> Column:
+    """1 where the answer to a question that cannot be answered refuses, else 0."""
+    return F.when(F.coalesce(is_refusal(answer), F.lit(False)), 1.0).otherwise(0.0)
+
+
+def gold_id(source_id: Column) -> Column:
+    """The gold unit of a node's source: the note of a vault's chunk, a turn of a conversation about it, or null."""
+    note = F.regexp_extract(source_id, r"^vault:([^#]*)", 1)
+    return F.when(source_id.startswith("vault:"), F.concat(F.lit("note:"), note)).when(source_id.startswith("vaultconv:"), F.concat(F.lit("conv:"), source_id))
+
+
+def gold_found(results: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(query, gold, rank) of results (query, node, rank): each gold unit once, numbered in the order in which it was first found."""
+    known = results.join(nodes.select("node", gold_id(F.col("source_id")).alias("gold")).where("gold is not null"), "node")
+    first = known.groupBy("query", "gold").agg(F.min("rank").alias("at"))
+    return first.select("query", "gold", F.row_number().over(Window.partitionBy("query").orderBy("at", "gold")).alias("rank"))
+
+
+def attached(turn_nodes: DataFrame, intended: DataFrame, edges: DataFrame) -> DataFrame:
+    """(turn, attached): whether any node of a turn (turn, node) is the intended entity (turn, entity) or shares an edge with it."""
+    both = edges.select("source", "target").union(edges.select("target", "source")).distinct()
+    told = turn_nodes.select("turn", "node").distinct().join(intended.select("turn", "entity"), "turn")
+    same = told.where("node = entity").select("turn")
+    near = told.join(both.toDF("node", "entity"), ["node", "entity"], "left_semi").select("turn")
+    hit = same.union(near).distinct().withColumn("hit", F.lit(True))
+    return intended.select("turn").distinct().join(hit, "turn", "left").select("turn", F.coalesce("hit", F.lit(False)).alias("attached"))
+
+
+def merges(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """(candidate, existing, nodes): merges that only the normalisation of labels made, by the two labels and how many nodes it merged so.
+
+    ``nodes`` (node, label), ``names`` (node, canonical). Labels that are equal but for case would have been merged anyway.
+    """
+    label = lambda key, name: nodes.select(F.col("node").alias(key), F.col("label").alias(name))
+    pairs = names.where("node <> canonical").join(label("node", "candidate"), "node").join(label("canonical", "existing"), "canonical")
+    return pairs.where(F.lower("candidate") != F.lower("existing")).groupBy("candidate", "existing").agg(F.count("*").alias("nodes"))
+
+
+def fact_outcomes(decisions: DataFrame, *by: str) -> DataFrame:
+    """(by..., outcome, n) over all combinations of ``by`` (null: all): updated alone, queued for review, or left stale."""
+    outcome = F.when(F.col("action") == "auto_supersede", "updated").when(F.col("action").isin("candidate", "version_locked"), "queued").otherwise("stale")
+    told = decisions.select(*by, outcome.alias("outcome"))
+    # A null value of ``by`` must not look like the sum over all.
+    named = told.select(*[F.coalesce(F.col(c).cast("string"), F.lit("none")).alias(c) for c in by], "outcome")
+    return named.cube(*by, "outcome").agg(F.count("*").alias("n")).where("outcome is not null")
+
+
+def fixture_scores(rows: DataFrame, *by: str) -> DataFrame:
+    """(by..., n, committed, correct, confident_wrong, coverage) of classified fixtures (expected, predicted, status).
+
+    Only what is classified is committed to; a wrong type that is committed to is the error that must not be.
+    """
+    sure = F.col("status") == "classified"
+    right = F.col("predicted").eqNullSafe(F.col("expected"))
+    return rows.where("expected is not null").groupBy(*by).agg(
+        F.count("*").alias("n"), F.count_if(sure).alias("committed"), F.count_if(sure & right).alias("correct"), F.count_if(sure & ~right).alias("confident_wrong"),
+        r4(F.count_if(sure).cast("double") / F.count("*")).alias("coverage"),
+    )

@@ -253,11 +253,16 @@ def contradicts(old: Column, new: Column, kind: Column) -> Column:
     return ((kind == "relationship") & unlike(status_value)) | ((kind == "identity") & unlike(place)) | (unlike(favourite) & ~unlike(favourite_category)) | flip | state
 
 
-def tripwire(text: Column) -> Column:
+def domains(extra: dict[str, list[str]] | None = None) -> dict[str, list[str]]:
+    """The sensitive domains with ``extra`` ones; a domain of both has the stems of both, and none can be taken away."""
+    return {d: [*DOMAINS.get(d, []), *[s for s in (extra or {}).get(d, []) if s not in DOMAINS.get(d, [])]] for d in [*DOMAINS, *(d for d in extra or {} if d not in DOMAINS)]}
+
+
+def tripwire(text: Column, extra: dict[str, list[str]] | None = None) -> Column:
     """The first sensitive domain that a text names, in plain or stripped form, or null."""
     lower = F.lower(text)
     bare = F.regexp_replace(lower, r"[^a-z0-9\s]", " ")
-    return F.coalesce(*[F.when(lower.rlike(rf"\b(?:{'|'.join(stems)})") | bare.rlike(rf"\b(?:{'|'.join(stems)})"), F.lit(d)) for d, stems in DOMAINS.items()])
+    return F.coalesce(*[F.when(lower.rlike(rf"\b(?:{'|'.join(stems)})") | bare.rlike(rf"\b(?:{'|'.join(stems)})"), F.lit(d)) for d, stems in domains(extra).items()])
 
 
 def dimension(text: Column) -> Column:
@@ -357,8 +362,11 @@ def route() -> Column:
     return F.when(sure, "auto_eligible").otherwise("candidate_only")
 
 
-def gate(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with action and reason. The gate only ever errs towards review.
+def gate(pairs: DataFrame, extra: dict[str, list[str]] | None = None, recogniser=None, trace: bool = False) -> DataFrame:
+    """``pairs`` with action and reason, with ``trace`` also what was looked at. The gate only ever errs towards review.
+
+    ``extra`` are further sensitive domains. ``recogniser`` maps the rows to a column that is true where a changed fact is confirmed; only then
+    is a changed fact, but for favourites, settled without review.
 
     Inputs: old_text, new_text, old_status, new_status, old_type, new_type, old_durability,
     new_confidence, new_compound, old_locked. Without recognisers wired in, facts that change
@@ -366,7 +374,7 @@ def gate(pairs: DataFrame) -> DataFrame:
     """
     old, new = F.col("old_text"), F.col("new_text")
     fact = change(old, new)
-    df = pairs.withColumn("__f", fact).withColumn("__trip", F.coalesce(tripwire(old), tripwire(new)))
+    df = pairs.withColumn("__f", fact).withColumn("__trip", F.coalesce(tripwire(old, extra), tripwire(new, extra)))
     known = F.col("old_status") == "classified"
     engage = F.col("__f.changed") & F.col("__f.dimension").isNotNull() & ((F.col("__f.dimension") == "favourite") | (~known & (F.col("__f.dimension") != "generic_change")))
     guarded = F.coalesce(F.col("old_type").isin(PROTECTED), F.lit(False))
@@ -376,10 +384,11 @@ def gate(pairs: DataFrame) -> DataFrame:
     df = df.withColumn("contradiction", F.when(F.col("__fact"), True).otherwise(F.coalesce((F.col("scope") == 1.0) & contradicts(old, new, F.col("old_type")), F.lit(False))))
     say = lambda action, reason: F.struct(F.lit(action).alias("action"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"))
     wire = F.concat(F.lit("tripwire_distrust:"), F.col("__trip"))
+    confirmed = F.coalesce(recogniser(df), F.lit(False)) if recogniser else F.lit(False)
     is_fact, locked, tripped = F.col("__fact"), F.col("old_locked"), F.col("__trip").isNotNull()
     decided = (
         F.when(is_fact & locked, say("version_locked", REASONS["locked"])).when(is_fact & tripped, say("candidate", wire))
-        .when(is_fact & guarded, say("candidate", REASONS["guarded"])).when(is_fact & (F.col("__f.dimension") != "favourite"), say("candidate", REASONS["unverified"]))
+        .when(is_fact & guarded, say("candidate", REASONS["guarded"])).when(is_fact & (F.col("__f.dimension") != "favourite") & ~confirmed, say("candidate", REASONS["unverified"]))
         .when(is_fact, say("auto_supersede", REASONS["fact"]))
         .when(~known, say("no_conflict", REASONS["floor"])).when(F.col("scope") < 1.0, say("no_conflict", REASONS["out"]))
         .when(~F.col("contradiction"), say("no_conflict", REASONS["compatible"])).when(locked, say("version_locked", REASONS["locked"]))
@@ -388,7 +397,11 @@ def gate(pairs: DataFrame) -> DataFrame:
         .when(F.col("new_confidence") < CLASSIFIED, say("candidate", REASONS["unsure"])).when(~F.col("old_durability").isin("fast_change", "slow_change"), say("candidate", REASONS["fixed"]))
         .when(tripped, say("candidate", wire)).otherwise(say("auto_supersede", REASONS["cleared"]))
     )
-    return df.withColumn("__d", decided).withColumn("action", F.col("__d.action")).withColumn("reason", F.col("__d.reason")).drop("__f", "__trip", "__fact", "__d")
+    out = df.withColumn("__d", decided).withColumn("action", F.col("__d.action")).withColumn("reason", F.col("__d.reason"))
+    if trace:
+        seen = F.struct(F.col("__fact").alias("fact_path"), F.col("__f.dimension").alias("dimension"), F.col("__f.changed").alias("changed"), F.col("__trip").alias("tripwire"), known.alias("known"), guarded.alias("guarded"), F.lit(bool(recogniser)).alias("recogniser"), confirmed.alias("confirmed"))
+        out = out.withColumn("trace", seen)
+    return out.drop("__f", "__trip", "__fact", "__d")
 
 
 def gate_metrics(decisions: DataFrame) -> DataFrame:

@@ -95,7 +95,15 @@ def orphans(spark, d):
     return graph.orphans(views.nodes(spark, d).where("node like 'c%'").select("node"), e)
 
 
-@query(f"WITH {views.RICH_SQL} SELECT e.edge_id FROM edges e LEFT JOIN (SELECT node FROM rich WHERE invalidated_at IS NULL) a ON a.node = e.source LEFT JOIN (SELECT node FROM rich WHERE invalidated_at IS NULL) b ON b.node = e.target WHERE a.node IS NULL OR b.node IS NULL")
+@query("""
+WITH gone AS (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'P')
+SELECT 'oc' || k AS edge_id FROM gone
+UNION ALL SELECT 'op' || l_orderkey || '.' || l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT k FROM gone) OR l_orderkey NOT IN (SELECT o_orderkey FROM orders) OR l_partkey NOT IN (SELECT p_partkey FROM part)
+UNION ALL SELECT 'ps' || l_orderkey || '.' || l_linenumber FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part) OR l_suppkey NOT IN (SELECT s_suppkey FROM supplier)
+UNION ALL SELECT 'oc' || o_orderkey FROM orders WHERE o_orderstatus <> 'P' AND o_custkey NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT 'sn' || s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation)
+UNION ALL SELECT 'cn' || c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation)
+""")
 def dangling_edges(spark, d):
     """Edges of which an end is not live."""
     live = views.rich(spark, d).where("invalidated_at is null").select("node")
