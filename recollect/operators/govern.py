@@ -315,14 +315,36 @@ def classified_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.join(old, "old_text").join(new, "new_text")
 
 
+def conflict_keys(texts: DataFrame, later: bool) -> DataFrame:
+    """(text, key): a conflict of two claims needs a key that both have, so only such pairs are put before the gate.
+
+    Keys are the topic of the first claim, and of the later one every topic of which it has a value; words of the topic; and of one subject and
+    type what can exclude each other: the value of a favourite, words of the object, or the type itself where a state has one value.
+    """
+    known = classify(texts.select("text").distinct())
+    text, kind = F.col("text"), F.col("claim_type")
+    say = lambda name, c: F.when(c.isNotNull(), F.concat_ws(":", F.lit(name), c))
+    one = [say("topic", dimension(text))]
+    if later:
+        one += [F.when(value(text, F.lit(d)).isNotNull(), F.lit(f"topic:{d}")) for d in [*DIMENSIONS, "favourite"]] + [F.when(rlike(text, RETRACTED) | rlike(text, CHANGED), F.lit("topic:favourite"))]
+    same = F.concat_ws(":", subject(text), kind)
+    words = F.transform(topic_words(text), lambda w: F.concat(F.lit("word:"), w))
+    favourite = F.when(kind.isNotNull() & rlike(text, r"\bfavou?rite\s+\w+\s+is\s+[a-z]+"), F.concat(F.lit("favourite:"), same))
+    state = F.when(kind.isin(SINGLE_VALUED), F.concat(F.lit("state:"), same))
+    things = F.when(kind.isNotNull(), F.transform(object_words(text), lambda w: F.concat_ws(":", F.lit("thing"), same, w)))
+    keys = F.concat(F.array(*one, favourite, state), words, F.coalesce(things, F.array().cast("array<string>")))
+    return known.select("text", F.explode(F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))).alias("key"))
+
+
 def govern(new: DataFrame, old: DataFrame, scope: str) -> DataFrame:
     """(old, new, action, reason) of every new claim against every old one of its ``scope``, but where there is no conflict.
 
     Inputs: ``scope``, old, old_text, old_locked, old_curated; ``scope``, new, new_text, new_curated. The scope is whose
-    memory a claim belongs to, and bounds the pairs. A curated old claim is never settled alone by one that is not curated.
+    memory a claim belongs to; in it only claims with a common key meet. A curated old claim is never settled alone by one that is not curated.
     """
     texts = lambda df, c: df.where(F.trim(F.coalesce(F.col(c), F.lit(""))) != "")
-    pairs = texts(old, "old_text").join(texts(new, "new_text"), scope)
+    keyed = lambda df, c, later: materialize(texts(df, c).join(conflict_keys(df.select(F.col(c).alias("text")).where("text is not null"), later).withColumnRenamed("text", c), c), "keyed")
+    pairs = keyed(old, "old_text", False).join(keyed(new, "new_text", True), [scope, "key"]).drop("key").distinct()
     alike = materialize(classified_pairs(pairs.select("old_text", "new_text").distinct()), "pairs")
     locked = alike.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("old_locked"))
     decided = materialize(gate(locked).select("old_text", "new_text", "old_locked", "action", "reason").where("action <> 'no_conflict'"), "decided")

@@ -65,7 +65,8 @@ def bit_hops(connected: DataFrame, anchors: DataFrame, depth: int = 3) -> tuple[
         met = step.join(seen.select("__part", "node", "visited"), ["__part", "node"], "full_outer" if hop < depth else "left")
         before, reached = F.coalesce("visited", F.lit(0).cast("long")), F.coalesce("reached", F.lit(0).cast("long"))
         fresh = reached.bitwiseAND(F.bitwise_not(before))
-        seen = materialize(met.select("__part", "node", fresh.alias("__bits"), before.bitwiseOR(reached).alias("visited"), F.lit(hop).alias("hops")), "level")
+        seen = met.select("__part", "node", fresh.alias("__bits"), before.bitwiseOR(reached).alias("visited"), F.lit(hop).alias("hops"))
+        seen = materialize(seen, "level") if hop < depth else seen  # the last one is read once
         levels.append(seen.where("__bits <> 0").select("__part", "node", "hops", "__bits"))
     return reduce(DataFrame.unionByName, levels), names
 

@@ -9,10 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recollect.session import materialize
+
 #: Longest runs.
 RUN = 3
 #: Words up to this number are broadcast; more are joined by a shuffle.
 FEW = 10_000
+#: Runs up to this number are looked for inside of each text's array of runs; more meet the texts' exploded runs in a join.
+SOME = 2_000
 
 
 def runs(text: Column, n: int) -> Column:
@@ -20,10 +24,14 @@ def runs(text: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(text) - (n - 1), F.lit(1))), lambda i: F.concat(*[F.get(text, i - 1 + k) for k in range(n)]))
 
 
-def postings(texts: DataFrame, sizes: list[int] | None = None) -> DataFrame:
-    """(run, node) of ``texts`` (node, text): each distinct run of a text once. Write it where many searches follow."""
+def postings(texts: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """(run, node) of ``texts`` (node, text): each distinct run of a text once, or those ``wanted`` alone. Write it where many searches follow."""
+    sizes = sorted({len(r) for r in wanted}) if wanted is not None else range(1, RUN + 1)
     split = texts.where("text <> ''").select("node", F.split("text", "").alias("c"))
-    every = F.concat(*[runs(F.col("c"), n) for n in sizes or range(1, RUN + 1)])
+    if wanted is not None:
+        hits = [F.array_intersect(runs(F.col("c"), n), F.array(*[F.lit(r) for r in wanted if len(r) == n])) for n in sizes]
+        return split.select("node", F.explode(F.concat(*hits) if hits else F.array().cast("array<string>")).alias("run"))
+    every = F.concat(*[runs(F.col("c"), n) for n in sizes])
     return split.select("node", F.explode(F.array_distinct(F.filter(every, lambda r: r.isNotNull()))).alias("run"))
 
 
@@ -38,8 +46,8 @@ def search(texts: DataFrame, words: DataFrame, index: DataFrame | None = None) -
     own = F.when(F.size("c") <= RUN, F.array("word")).otherwise(runs(F.col("c"), RUN))
     parts = split.select("word", F.explode(F.array_distinct(own)).alias("run"))
     if index is None:
-        sizes = [r[0] for r in asked.select(F.least(F.length("word"), F.lit(RUN)).alias("n")).distinct().collect()]
-        index = postings(texts, sizes or [RUN])
+        some = [r["run"] for r in parts.select("run").distinct().limit(SOME + 1).collect()]
+        index = materialize(postings(texts, some if len(some) <= SOME else None).join(small(parts.select("run").distinct()), "run", "left_semi"), "postings")
     met = index.join(small(parts.select("run").distinct()), "run", "left_semi")
     uses = met.groupBy("run").agg(F.count("*").alias("n"))
     rarest = parts.join(uses, "run", "left").groupBy("word").agg(F.min_by("run", F.struct(F.coalesce("n", F.lit(0).cast("long")), "run")).alias("run"))
