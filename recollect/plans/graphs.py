@@ -172,6 +172,13 @@ def recall_topn(spark, d):
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(f"SELECT query, node, hops, frequency, score, place AS rank FROM (SELECT query, node, hops, frequency, score, row_number() OVER (PARTITION BY query ORDER BY frequency DESC, rank) AS place FROM ({_recall_sql('invalidated_at IS NULL')}) QUALIFY place <= 5)")
+def recall_reranked(spark, d):
+    """The five best of the first twenty around every nation when these are put in order anew by how often they were used."""
+    found = recall.recall(views.rich(spark, d), views.edges(spark, d), _nations(spark, d), F.lit(views.NOW).cast("timestamp"), top=5, rerank=lambda rows: rows["frequency"], head=20)
+    return found.select("query", "node", "hops", "frequency", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query(_recall_sql("NOT coalesce(valid_from > TIMESTAMP '1996-06-01', false) AND NOT coalesce(valid_until <= TIMESTAMP '1996-06-01', false) AND NOT (invalidated_at IS NOT NULL AND valid_until IS NULL)"))
 def recall_as_of(spark, d):
     """The same as of a day in the past."""
