@@ -158,3 +158,41 @@ def test_kept_columns_of_any_name(spark):
         langid.predict(docs.withColumnRenamed("__text", "Score"), None, ["doc_id", "Score"])
     with pytest.raises(ValueError):
         toxicity.score(docs.withColumnRenamed("__text", "predicted"), {}, (), ["doc_id", "predicted"])
+
+
+def test_language_query_row_by_row(spark, langs):
+    """The whole query against the model's formula, text by text."""
+    docs = common.documents(spark, "/root/testdata/sf0.01")
+    model = langid.fit(docs.where(common.crc_fold("doc_id", 4) != 2))
+    got = langs.set_index("doc_id")
+    for r in docs.select("doc_id", "text").collect():
+        row = got.loc[r["doc_id"]]
+        if not r["text"] or not any(c.isalpha() for c in r["text"]):
+            assert row.lang_pred == "und" and row.score == 0
+            continue
+        s = (langid.sums([r["text"]], model.table)[0] + model.bias) / model.temperature
+        p = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+        assert row.lang_pred == model.langs[int(p.argmax())] and abs(row.score - p.max()) < 1e-4
+
+
+def test_toxicity_query_row_by_row(spark):
+    """The whole query against a plain sum of the weights of each text's words and their beginnings."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = common.documents(spark, sf).select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    fold = common.crc_fold("doc_id", 5)
+    weights, biases = toxicity.fit(docs.where(fold != 0), labels.where(fold != 0))
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in toxicity.op1_toxicity_nnpu(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        words, word = set(), ""
+        for c in (r["text"] or "").lower() + " ":
+            if c.isalnum() and not c.isdigit() and not c.isnumeric():
+                word += c
+                continue
+            if word:
+                words |= {word, *(word[:n] + "*" for n in (4, 5) if len(word) > n)}
+            word = ""
+        sums = [b + sum(weights[w][k] for w in words if w in weights) for k, b in enumerate(biases)]
+        score = sum(1 / (1 + math.exp(-max(-500.0, s))) for s in sums) / len(sums)
+        assert abs(got[r["doc_id"]][0] - score) < 1e-9 and got[r["doc_id"]][1] == int(got[r["doc_id"]][0] >= 0.5)
