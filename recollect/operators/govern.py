@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from recollect.session import materialize
 from recollect.functions.text import r4
 
+#: Different texts up to this number are broadcast with their classes; more are joined by a shuffle.
+FEW = 10_000
 STRONG, MEDIUM, WEAK = 0.65, 0.42, 0.25
 CLASSIFIED, LOW = 0.60, 0.35
 _WHO = r"\bi(?:'m| am) "
@@ -194,10 +196,19 @@ def classify(claims: DataFrame, text_col: str = "text") -> DataFrame:
     """``claims`` with claim_type, confidence, status, compound, durability and boundary.
 
     The top type's score is lowered where the second comes near; a text whose clauses have different
-    types is compound and never more than a hint.
+    types is compound and never more than a hint. Each different text is classified once.
     """
+    known = materialize(_classified(claims.select(F.col(text_col).alias("__text")).distinct(), "__text"), "claims")
+    made = [c for c in known.columns if c != "__text"]
+    joined = claims.drop(*made).join(F.broadcast(known) if known.count() <= FEW else known, F.col(text_col).eqNullSafe(F.col("__text")))
+    return joined.drop("__text")
+
+
+def _classified(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """``classify`` of distinct texts, dealt over all tasks however few bytes they are."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.trim(F.coalesce(F.col(text_col), F.lit("")))
-    scored = claims.withColumn("__t", text).withColumn("__s", type_scores(F.col("__t")))
+    scored = texts.repartition(parts, text_col).withColumn("__t", text).withColumn("__s", type_scores(F.col("__t")))
     clauses = F.filter(F.split("__t", CLAUSES), lambda c: F.trim(c) != "")
     tops = F.filter(F.transform(clauses, lambda c: F.try_element_at(type_scores(c), F.lit(1))), lambda s: s["minus"] <= -MEDIUM)
     scored = scored.withColumn("compound", (F.size(clauses) >= 2) & (F.size(F.array_distinct(F.transform(tops, lambda s: s["type"]))) >= 2))
@@ -308,7 +319,7 @@ def change(old: Column, new: Column) -> Column:
 def classified_pairs(pairs: DataFrame) -> DataFrame:
     """``pairs`` (old_text, new_text) with what the gate needs of both; each different text is classified once."""
     texts = pairs.select(F.explode(F.array("old_text", "new_text")).alias("text")).distinct()
-    known = materialize(classify(texts), "claims")
+    known = materialize(_classified(texts), "claims")
     side = lambda c, **names: known.select(F.col("text").alias(f"{c}_text"), *[F.col(k).alias(v) for k, v in names.items()])
     old = side("old", status="old_status", claim_type="old_type", durability="old_durability")
     new = side("new", status="new_status", claim_type="new_type", confidence="new_confidence", compound="new_compound")
@@ -321,7 +332,7 @@ def conflict_keys(texts: DataFrame, later: bool) -> DataFrame:
     Keys are the topic of the first claim, and of the later one every topic of which it has a value; words of the topic; and of one subject and
     type what can exclude each other: the value of a favourite, words of the object, or the type itself where a state has one value.
     """
-    known = classify(texts.select("text").distinct())
+    known = _classified(texts.select("text").distinct())
     text, kind = F.col("text"), F.col("claim_type")
     say = lambda name, c: F.when(c.isNotNull(), F.concat_ws(":", F.lit(name), c))
     one = [say("topic", dimension(text))]
