@@ -1,8 +1,10 @@
 """Work that must not grow faster than the rows: the most rows that any step of a job makes."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from recollect.operators import recall
+from recollect.operators import graph, recall
 
 
 def most_rows(spark, run) -> int:
@@ -29,3 +31,30 @@ def test_names_of_a_common_label_do_not_meet_all_its_nodes(spark):
     most = most_rows(spark, lambda: got.extend(recall.entity_anchors(nodes, named, least=None).collect()))
     assert {(r["query"], r["node"], r["exact"]) for r in got} == {(i, f"p{i % 2:04d}", i % 2 == 0) for i in range(600)} and len(got) == 600
     assert most <= 5000
+
+
+def test_a_walk_makes_a_row_an_edge_not_one_a_query(spark):
+    """Thirty queries that all reach all of a small dense graph with parallel edges, against a plain walk."""
+    rng = random.Random(4)
+    edges = [(rng.randrange(40), rng.randrange(40), rng.randrange(1, 10) / 10) for _ in range(300)]
+    near = {}
+    for a, b, w in edges:
+        for x, y in ((a, b), (b, a)):
+            near.setdefault(x, {})[y] = max(w, near.get(x, {}).get(y, 0.0))
+    expect = {}
+    for q in range(30):
+        front, seen = {q: 1.0}, {q: (0, 1.0)}
+        for hop in (1, 2, 3):
+            step = {}
+            for x, s in front.items():
+                for y, w in near.get(x, {}).items():
+                    step[y] = max(step.get(y, 0.0), s * w)
+            front = {y: s for y, s in step.items() if y not in seen}
+            seen |= {y: (hop, s) for y, s in front.items()}
+        expect |= {(q, str(x)): v for x, v in seen.items()}
+    table = spark.createDataFrame([(str(a), str(b), w) for a, b, w in edges], "source string, target string, weight double")
+    anchors = spark.createDataFrame([(q, str(q)) for q in range(30)], "query long, node string")
+    got = []
+    most = most_rows(spark, lambda: got.extend(graph.walk(graph.strengths(table), anchors, 3).collect()))
+    assert {(r["query"], r["node"]): (r["hops"], r["strength"]) for r in got} == expect and len(got) == len(expect)
+    assert most <= 2 * len(expect)
