@@ -58,3 +58,12 @@ def test_a_walk_makes_a_row_an_edge_not_one_a_query(spark):
     most = most_rows(spark, lambda: got.extend(graph.walk(graph.strengths(table), anchors, 3).collect()))
     assert {(r["query"], r["node"]): (r["hops"], r["strength"]) for r in got} == expect and len(got) == len(expect)
     assert most <= 2 * len(expect)
+
+
+def test_recall_gives_a_node_of_two_communities_once_and_breaks_ties_by_id(spark):
+    nodes = spark.range(90).selectExpr("format_string('m%02d', id) AS node", "'fact' AS node_type", "timestamp'2024-01-01' AS created_at", "0L AS access_count", "1.0D AS confidence", *[f"CAST(NULL AS TIMESTAMP) AS {c}" for c in ("valid_from", "valid_until", "invalidated_at")])
+    edges = spark.range(1, 90).selectExpr("'m00' AS source", "format_string('m%02d', id) AS target", "1.0D AS weight")
+    anchors = spark.createDataFrame([("q", "m00"), ("r", "m00")], "query string, node string")
+    members = spark.createDataFrame([("m00", "a"), ("m00", "b"), ("m50", "a"), ("m50", "b")], "node string, community string")
+    got = recall.recall(nodes, edges, anchors, F.lit("2024-02-01").cast("timestamp"), top=5, members=members).collect()
+    assert sorted((r["query"], r["rank"], r["node"]) for r in got) == [(q, i + 1, n) for q in "qr" for i, n in enumerate(["m00", "m50", "m01", "m02", "m03"])]
