@@ -67,3 +67,14 @@ def test_recall_gives_a_node_of_two_communities_once_and_breaks_ties_by_id(spark
     members = spark.createDataFrame([("m00", "a"), ("m00", "b"), ("m50", "a"), ("m50", "b")], "node string, community string")
     got = recall.recall(nodes, edges, anchors, F.lit("2024-02-01").cast("timestamp"), top=5, members=members).collect()
     assert sorted((r["query"], r["rank"], r["node"]) for r in got) == [(q, i + 1, n) for q in "qr" for i, n in enumerate(["m00", "m50", "m01", "m02", "m03"])]
+
+
+def test_lineage_reads_no_earlier_level_again(spark, monkeypatch):
+    """A ring with a short cut: nearest distances, and no join of a level with those before it."""
+    pairs = [(i, (i + 1) % 6) for i in range(6)] + [(0, 3)]
+    edges = spark.createDataFrame([(f"r{a}", f"r{b}", "derived_from") for a, b in pairs], "source string, target string, edge_type string")
+    plans, write = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, name))
+    got = {r["node"]: r["hops"] for r in graph.lineage(edges, spark.createDataFrame([("q", "r0")], "query string, node string"), 10).collect()}
+    assert got == {"r1": 1, "r3": 1, "r2": 2, "r4": 2, "r5": 3}
+    assert not any("LeftAnti" in p for p in plans)
