@@ -209,12 +209,12 @@ def tensions(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def propagate(adjacent: DataFrame, nodes: DataFrame, sources: DataFrame, hops: int = 2) -> DataFrame:
     """(node, confidence) raised from ``sources``: a tenth less at every hop; only raised nodes pass it on."""
-    adjacent = materialize(adjacent.select("src", "dst"), "adjacency")
+    adjacent = keyed(adjacent.select("src", "dst"), "src", "adjacency")
     known = nodes.select("node", "confidence")
     front = sources.join(known, "node").select("node", "confidence")
     raised = []
     for hop in range(1, hops + 1):
-        given = front.withColumnRenamed("node", "src").join(adjacent, "src").groupBy(F.col("dst").alias("node")).agg(F.max(F.col("confidence") * (1 - 0.1 * hop)).alias("given"))
+        given = front.withColumnRenamed("node", "src").hint("shuffle_hash").join(adjacent, "src").groupBy(F.col("dst").alias("node")).agg(F.max(F.col("confidence") * (1 - 0.1 * hop)).alias("given"))
         front = materialize(known.join(given, "node").where("given > confidence").select("node", F.col("given").alias("confidence")), "raised")
         raised.append(front)
     return reduce(DataFrame.unionByName, raised).groupBy("node").agg(F.max("confidence").alias("confidence"))

@@ -132,7 +132,7 @@ SELECT node, {R4('max(g)')} AS confidence FROM (SELECT * FROM r1 UNION ALL SELEC
 def propagate_confidence(spark, d):
     """Confidence passed on from the customers."""
     n = views.rich(spark, d)
-    return graph.propagate(graph.adjacency(views.edges(spark, d)), n, n.where("node like 'c%'").select("node")).select("node", r4(F.col("confidence")).alias("confidence"))
+    return graph.propagate(graph.connections(views.edges(spark, d)), n, n.where("node like 'c%'").select("node")).select("node", r4(F.col("confidence")).alias("confidence"))
 
 
 @query()

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from recollect.operators import graph, recall
+from recollect.plans.catalogue import QUERIES
 
 
 def most_rows(spark, run) -> int:
@@ -78,3 +79,8 @@ def test_lineage_reads_no_earlier_level_again(spark, monkeypatch):
     got = {r["node"]: r["hops"] for r in graph.lineage(edges, spark.createDataFrame([("q", "r0")], "query string, node string"), 10).collect()}
     assert got == {"r1": 1, "r3": 1, "r2": 2, "r4": 2, "r5": 3}
     assert not any("LeftAnti" in p for p in plans)
+
+
+def test_confidence_needs_no_merged_edges(spark, sf, monkeypatch):
+    monkeypatch.setattr(graph, "adjacency", lambda *a, **k: 1 / 0)
+    assert QUERIES["propagate_confidence"](spark, sf).count() > 0
