@@ -84,3 +84,20 @@ def test_lineage_reads_no_earlier_level_again(spark, monkeypatch):
 def test_confidence_needs_no_merged_edges(spark, sf, monkeypatch):
     monkeypatch.setattr(graph, "adjacency", lambda *a, **k: 1 / 0)
     assert QUERIES["propagate_confidence"](spark, sf).count() > 0
+
+
+def test_label_votes_that_are_equal_but_for_rounding_go_to_the_least(spark):
+    """0.1 + 0.2 for b is no more than 0.3 for a."""
+    pairs = [("x", "a", 0.3), ("x", "b", 0.1), ("x", "b", 0.2)]
+    both = spark.createDataFrame(pairs + [(b, a, w) for a, b, w in pairs] + [("b", "c", 0.9), ("c", "b", 0.9)], "src string, dst string, strength double")
+    got = {r["node"]: r["community"] for r in graph.communities(both).collect()}
+    assert got == {"a": "a", "x": "a", "b": "b", "c": "b"}
+
+
+def test_ids_of_a_coded_graph_are_in_the_order_of_its_nodes(spark):
+    edges = spark.range(300).selectExpr("concat('o', id) AS source", "concat('c', id % 7) AS target", "0.5D AS weight", "1.0D AS confidence")
+    names, adjacent = graph.coded(edges)
+    told = [r["node"] for r in names.orderBy("id").collect()]
+    assert told == sorted(told) and len(told) == 307
+    got = {(r["src"], r["dst"], r["strength"]) for r in graph.named(adjacent, names, "src", "dst").collect()}
+    assert got == {(r["src"], r["dst"], r["strength"]) for r in graph.adjacency(edges).collect()}
