@@ -45,8 +45,9 @@ def retention(nodes: DataFrame, now: Column, days: int, mode: str) -> DataFrame:
 
 def mark_used(edges: DataFrame, used: DataFrame, step: float = 0.05) -> DataFrame:
     """Edges with the weight of those at a used node raised by ``step``, to 1 at most."""
-    at = used.select("node").distinct()
-    flagged = edges.join(at.select(F.col("node").alias("source"), F.lit(True).alias("__s")), "source", "left").join(at.select(F.col("node").alias("target"), F.lit(True).alias("__t")), "target", "left")
+    at = materialize(used.select("node").distinct(), "used")  # written once, and each part of it hashed: the edges need no sort
+    side = lambda end, flag: at.select(F.col("node").alias(end), F.lit(True).alias(flag)).hint("shuffle_hash")
+    flagged = edges.join(side("source", "__s"), "source", "left").join(side("target", "__t"), "target", "left")
     raised = F.least(F.lit(1.0), F.col("weight") + step)
     return flagged.withColumn("weight", F.when(F.col("__s") | F.col("__t"), raised).otherwise(F.col("weight"))).select(*edges.columns)
 

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from recollect.operators import graph, recall
+from recollect.operators import graph, lifecycle, recall
 from recollect.plans.catalogue import QUERIES
 
 
@@ -101,3 +101,16 @@ def test_ids_of_a_coded_graph_are_in_the_order_of_its_nodes(spark):
     assert told == sorted(told) and len(told) == 307
     got = {(r["src"], r["dst"], r["strength"]) for r in graph.named(adjacent, names, "src", "dst").collect()}
     assert got == {(r["src"], r["dst"], r["strength"]) for r in graph.adjacency(edges).collect()}
+
+
+def test_marking_used_edges_sorts_none(spark):
+    edges = spark.range(200).selectExpr("concat('e', id) AS edge_id", "concat('o', id % 9) AS source", "concat('p', id % 20) AS target", "id % 10 / 10.0D AS weight")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        marked = lifecycle.mark_used(edges, spark.createDataFrame([("p3",), ("p3",), ("o1",)], "node string"))
+        assert "SortMergeJoin" not in marked._jdf.queryExecution().executedPlan().toString()
+        got = {r["edge_id"]: r["weight"] for r in marked.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(got) == 200 and got == {f"e{i}": min(1.0, i % 10 / 10 + 0.05) if i % 20 == 3 or i % 9 == 1 else i % 10 / 10 for i in range(200)}
