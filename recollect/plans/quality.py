@@ -26,9 +26,7 @@ def retrieval_quality(spark, d):
     """Recall, reciprocal rank and nDCG at ten of nearest vectors; gold are the vectors of the same label."""
     v = table(spark, d, "embeddings").select("vec_id", "label")
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "label")
-    gold = q.join(v.withColumnRenamed("vec_id", "item"), "label").where("item <> query").select("query", "item")
-    gold = gold.unionByName(q.join(gold, "query", "left_anti").select("query", F.lit(None).cast("long").alias("item")))
-    return evaluate.per_query(_knn(spark, d), gold)
+    return evaluate.per_query_labelled(_knn(spark, d), v.withColumnRenamed("vec_id", "item"), q)
 
 
 @query("SELECT event_type, count(*) AS n, floor(quantile_cont(value, 0.5) * 1000 + 0.5) / 1000 AS p50, floor(quantile_cont(value, 0.9) * 1000 + 0.5) / 1000 AS p90, floor(quantile_cont(value, 0.99) * 1000 + 0.5) / 1000 AS p99, floor(min(value) * 1000 + 0.5) / 1000 AS min, floor(max(value) * 1000 + 0.5) / 1000 AS max, floor(avg(value) * 1000 + 0.5) / 1000 AS mean FROM events GROUP BY 1")

@@ -114,3 +114,12 @@ def test_marking_used_edges_sorts_none(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert len(got) == 200 and got == {f"e{i}": min(1.0, i % 10 / 10 + 0.05) if i % 20 == 3 or i % 9 == 1 else i % 10 / 10 for i in range(200)}
+
+
+def test_gold_of_a_common_label_is_counted_not_paired(spark, tmp_path):
+    spark.range(1000).selectExpr("id AS vec_id", "array(CAST(1 + id % 17 AS FLOAT), CAST(1 + id % 5 AS FLOAT)) AS embedding", "CAST(id = 50 AS INT) AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = []
+    most = most_rows(spark, lambda: got.extend(QUERIES["retrieval_quality"](spark, str(tmp_path)).collect()))
+    assert {r["query"]: r["n_gold"] for r in got} == {i: 0 if i == 50 else 998 for i in range(0, 1000, 50)}
+    assert {(r["recall"], r["reciprocal_rank"], r["ndcg"]) for r in got if r["query"] == 50} == {(1.0, 1.0, 1.0)}
+    assert most <= 3000
