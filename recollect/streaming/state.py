@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -41,6 +42,29 @@ class Due(StatefulProcessor):
         pass
 
 
+class Tasks(StatefulProcessor):
+    """As ``Due`` for several tasks (name, every, first) of one counter: rows with ``task``. It takes rows as they are, since most keys have few."""
+
+    def __init__(self, order: list[str], tasks: list[tuple[str, int, int]]):
+        self.order, self.tasks = order, tasks
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.count = handle.getValueState("count", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        got = sorted(rows, key=lambda r: [(r[c] is None, r[c]) for c in self.order])
+        before = self.count.get()
+        n = int(before[0]) if before else 0
+        self.count.update((n + len(got),))
+        for name, every, first in self.tasks:
+            start = first - n - 1 if n < first else (first - n - 1) % every
+            for r in got[start::every]:
+                yield Row(**r.asDict(), task=name)
+
+    def close(self) -> None:
+        pass
+
+
 class Drain(StatefulProcessor):
     """A queue of nodes that wait for their vectors: full batches leave at once, the rest when ``seconds`` have passed since the first came."""
 
@@ -84,6 +108,12 @@ def due(log: DataFrame, key: str, order: list[str], every: int = 50, first: int
     return log.groupBy(key).transformWithStateInPandas(Due(order, every, first), log.schema, "Append", "None")
 
 
+def due_tasks(log: DataFrame, key: str, order: list[str], tasks: list[tuple[str, int, int]]) -> DataFrame:
+    """The rows of ``due`` for each of ``tasks`` (name, every, first), with ``task``: one counter and one pass for all."""
+    schema = T.StructType([*log.schema.fields, T.StructField("task", T.StringType())])
+    return log.groupBy(key).transformWithState(Tasks(order, tasks), schema, "Append", "None")
+
+
 def drained(pending: DataFrame, batch: int = 256, seconds: float = 30.0) -> DataFrame:
     """(shard, node) of the stream ``pending`` (shard, node), held back until a shard has ``batch`` of them or ``seconds`` have passed.
 

@@ -187,3 +187,21 @@ def test_evaluation_goes_on_after_half(spark, tmp_path):
     assert again.run(changed) == 1 and again.results(changed).count() == 200 and again.results(changed).where("key = 'k3'").agg(F.min("f1")).first()[0] >= 1000
     assert resume.Evaluation(str(tmp_path), {"a": 2}, "key", schema, compute).run(rows) == 20
     assert evaluate.aggregate(again.results(rows).withColumns({"recall": F.lit(0.5), "reciprocal_rank": F.lit(1.0), "n_gold": F.lit(1)}), "category").count() == 2
+
+
+def test_one_counter_serves_several_tasks_over_two_runs(spark, tmp_path):
+    """Both tasks of one stream that is stopped and goes on, as ``upkeep.due`` finds them in the whole log."""
+    log = spark.range(400).selectExpr("id % 3 AS k", "CASE WHEN id % 50 > 0 THEN (id * 7) % 400 + id DIV 200 * 400 END AS at", "id AS i")
+    state.with_state_store(spark)
+    for part in (0, 1):
+        log.where(f"i DIV 200 = {part}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(log.schema).parquet(f"{tmp_path}/in")
+        found = state.due_tasks(stream, "k", ["at", "i"], [("a", 10, 10), ("b", 50, 20)])
+        ingest.append(found, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    got = sorted((r["task"], r["i"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    seen = {}
+    expect = []
+    for r in sorted(log.collect(), key=lambda r: (r["i"] // 200, r["at"] is None, r["at"] or 0, r["i"])):
+        n = seen[r["k"]] = seen.get(r["k"], 0) + 1
+        expect += [(t, r["i"]) for t, every, first in (("a", 10, 10), ("b", 50, 20)) if n >= first and (n - first) % every == 0]
+    assert got == sorted(expect) and len(got) > 40
