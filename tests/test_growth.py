@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from recollect.operators import graph, lifecycle, recall
+from recollect.operators import graph, lifecycle, recall, substrings
 from recollect.plans.catalogue import QUERIES
 
 
@@ -123,3 +123,17 @@ def test_gold_of_a_common_label_is_counted_not_paired(spark, tmp_path):
     assert {r["query"]: r["n_gold"] for r in got} == {i: 0 if i == 50 else 998 for i in range(0, 1000, 50)}
     assert {(r["recall"], r["reciprocal_rank"], r["ndcg"]) for r in got if r["query"] == 50} == {(1.0, 1.0, 1.0)}
     assert most <= 3000
+
+
+def test_newest_texts_of_words_are_kept_before_they_are_shuffled(spark):
+    """Against a plain search: many and few words, inside of others, with spaces, over pieces with line breaks, of equal and of no age."""
+    rng = random.Random(7)
+    rows = [(f"d{i:03d}", None if i % 40 == 0 else i // 3, " ".join(rng.choice(["abc", "bcd\nzz", "ß☃x", "a", "", "query" + str(i % 7)]) for _ in range(8))) for i in range(300)]
+    texts = spark.createDataFrame([*rows, ("none", 5, None)], "node string, at long, text string").repartition(3)
+    many = ["abc", "bc", "b", "d\nz", "☃", "c a", "y3", "nowhere", "", *[f"query{i}" for i in range(7)], "zz", "ß", "x", "er", "bcd"]
+    for words in (many, many[:5]):
+        got = []
+        most = most_rows(spark, lambda: got.extend(substrings.newest(texts, spark.createDataFrame([(w,) for w in words], "word string"), 4).collect()))  # noqa: B023
+        expect = [(w, *r[:2]) for w in words if w for r in sorted((r for r in rows if w in r[2]), key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))[:4]]
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, expect))
+        assert len(words) == 5 or most <= 400
