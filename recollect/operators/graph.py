@@ -85,14 +85,6 @@ def by_query(rows: DataFrame, names: DataFrame) -> DataFrame:
     return rows.join(known, "__part").select(F.inline(hit), *[c for c in rows.columns if c not in ("__part", "__bits")])
 
 
-def tally(rows: DataFrame, names: DataFrame, *keys: str) -> DataFrame:
-    """(query, keys, n): how many of ``rows`` (__part, __bits, keys) each query has; a column of counts for each place, so no row is made for a row's query."""
-    places = range(names.agg(F.max(F.size("queries"))).first()[0] or 1)
-    counted = rows.groupBy("__part", *keys).agg(F.array(*[F.sum(F.getbit("__bits", F.lit(i)).cast("long")) for i in places]).alias("all"))
-    each = F.transform("queries", lambda q, i: F.struct(q.alias("query"), F.get("all", i).alias("n")))
-    return counted.join(names, "__part").select(*keys, F.inline(each)).where("n > 0").groupBy("query", *keys).agg(F.sum("n").alias("n"))
-
-
 def hops(connected: DataFrame, anchors: DataFrame, depth: int = 3) -> DataFrame:
     """(query, node, hops) of all nodes within ``depth`` of a query's anchors: a walk without strengths."""
     return by_query(*bit_hops(connected, anchors, depth)).select("query", "node", "hops")
