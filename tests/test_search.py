@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recollect.operators import alike, graph, leiden, mutate, resolve, substrings, vectors
 from recollect.plans.catalogue import QUERIES
+from tests.test_growth import most_rows
 
 
 def test_substrings_equal_all_pairs(spark):
@@ -229,3 +230,25 @@ def test_update_of_one_node_twice(spark):
     with pytest.raises(Exception, match="disagree"):
         mutate.update(nodes, twice.drop("seq")).collect()
     assert mutate.update(nodes, twice.where("node = 'n2'").drop("seq")).where(F.col("label") == "own").count() == 1
+
+
+def test_alike_candidates_are_settled_where_tiles_meet(spark, monkeypatch):
+    """Texts that all share a band with each other: no step puts out their pairs, and no link of another tile is lost."""
+    monkeypatch.setattr(alike, "BLOCK", 32)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(6))
+    texts = [f"one and the same beginning of all these texts {' '.join(word() for _ in range(k % 24 + 3))}" for k in range(120)]
+    texts += [t[:-3] + "b q" for t in texts[:20]]
+    rows = [(f"n{i:03}", i, t) for i, t in enumerate(texts)]
+    groups, _ = alike.classes(spark.createDataFrame(rows, "node string, conv long, text string"))
+    got = {}
+    most = most_rows(spark, lambda: got.update({(r["a"], r["b"]): r["share"] for r in alike.links(groups).collect()}))
+    exact = {}
+    for y, _, b in rows:
+        met = SequenceMatcher(None, "", b)
+        for x, _, a in rows[: int(y[1:])]:
+            met.set_seq1(a)
+            if met.quick_ratio() >= 0.6 and met.ratio() >= 0.6:
+                exact[x, y] = met.ratio()
+    assert got.items() <= exact.items() and len(got) >= 0.9 * len(exact) and len(got) > 20
+    assert most <= max(len(got), len(rows)) < len(rows) * (len(rows) - 1) / 4
