@@ -4,8 +4,25 @@ import random
 
 from pyspark.sql import functions as F
 
-from recollect.operators import graph, lifecycle, recall, substrings
+from recollect.operators import graph, leiden, lifecycle, recall, substrings
 from recollect.plans.catalogue import QUERIES
+from recollect.session import materialize
+
+
+def total_of(spark, metric: str, run) -> int:
+    """The sum of a metric over all steps of the jobs of ``run``."""
+    sc, store = spark.sparkContext._jsc.sc(), spark._jsparkSession.sharedState().statusStore()
+    sc.listenerBus().waitUntilEmpty()
+    before = {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    run()
+    sc.listenerBus().waitUntilEmpty()
+    total, every = 0, store.executionsList()
+    for e in (every.apply(i) for i in range(every.size())):
+        if e.executionId() not in before:
+            values = store.executionMetrics(e.executionId())
+            for i in {m.accumulatorId() for m in (e.metrics().apply(i) for i in range(e.metrics().size())) if m.name() == metric}:
+                total += int(values.apply(i).replace(",", "")) if values.contains(i) else 0
+    return total
 
 
 def most_rows(spark, run) -> int:
@@ -137,3 +154,15 @@ def test_newest_texts_of_words_are_kept_before_they_are_shuffled(spark):
         expect = [(w, *r[:2]) for w in words if w for r in sorted((r for r in rows if w in r[2]), key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))[:4]]
         assert sorted(map(str, map(tuple, got))) == sorted(map(str, expect))
         assert len(words) == 5 or most <= 400
+
+
+def test_coarsening_moves_an_edge_once_a_round(spark):
+    """A random graph that one level settles: rows shuffled in it, a directed edge."""
+    rng = random.Random(6)
+    pairs = {(rng.randrange(250), rng.randrange(250)) for _ in range(4000)}
+    edges = spark.createDataFrame([(f"v{a}", f"v{b}", 1.0) for a, b in pairs if a != b], "source string, target string, weight double")
+    adj = materialize(graph.adjacency(edges), "adjacency")
+    many, got = adj.count(), []
+    moved = total_of(spark, "shuffle records written", lambda: got.extend(leiden.leiden(adj, small=many - 1, rounds=4).collect()))
+    assert len(got) == len({r["node"] for r in got}) == 250
+    assert moved <= 7.2 * many
