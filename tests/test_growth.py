@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from recollect.operators import graph, leiden, lifecycle, recall, substrings
+from recollect.operators import graph, leiden, lifecycle, mutate, recall, substrings
 from recollect.plans.catalogue import QUERIES
 from recollect.session import materialize
 
@@ -166,3 +166,32 @@ def test_coarsening_moves_an_edge_once_a_round(spark):
     moved = total_of(spark, "shuffle records written", lambda: got.extend(leiden.leiden(adj, small=many - 1, rounds=4).collect()))
     assert len(got) == len({r["node"] for r in got}) == 250
     assert moved <= 7.2 * many
+
+
+def test_edges_of_whole_classes_are_made_without_being_moved(spark, tmp_path):
+    """Customers and suppliers of two nations, against a plain double loop: the rows shuffled grow with the nodes, not with the edges."""
+    spark.range(1, 601).selectExpr("id AS c_custkey", "CAST(id % 2 AS INT) AS c_nationkey", "CASE WHEN id % 51 > 0 THEN id * 20 - 1000.0D END AS c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(1, 301).selectExpr("id AS s_suppkey", "CASE WHEN id % 41 > 0 THEN CAST(id % 2 AS INT) END AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    expect = {f"c{c}-s{s}": min(1.0, max(0.0, (c * 20 - 1000) / 5000)) if c % 51 else 0.0 for c in range(1, 601) for s in range(1, 301) if s % 41 and c % 2 == s % 2 and c % 10 and s % 10 and (c + s) % 3}
+    got = []
+    moved = total_of(spark, "shuffle records written", lambda: got.extend(QUERIES["connect_nodes"](spark, str(tmp_path)).collect()))
+    assert len(got) == len(expect) > 40_000 and {r["edge_id"]: r["weight"] for r in got} == expect
+    assert moved <= 10 * 900
+
+
+def test_classes_that_share_nodes_give_an_edge_once(spark, monkeypatch):
+    """Nodes of up to three classes, twice in some, absent ends, no weight, many small tiles; an edge linked by one pair of classes is not new by another."""
+    monkeypatch.setattr(mutate, "TILE", (3, 2))
+    rng = random.Random(5)
+    sources = [(f"a{i}", rng.choice(["x", "y", "z", None]), None if i % 9 == 0 else i / 20) for i in range(40) for _ in range(rng.randrange(4))]
+    targets = [(f"b{i}", rng.choice(["u", "v", "w", None])) for i in range(30) for _ in range(rng.randrange(4))]
+    wanted, linked = [("x", "u"), ("x", "v"), ("y", "v"), ("z", "w"), ("y", "w"), ("x", "u")], [("y", "v"), ("z", "u")]
+    there = {f"a{i}" for i in range(40) if i % 7} | {f"b{i}" for i in range(30) if i % 5}
+    pairs = lambda classes: {(a, b): w for a, p, w in sources for b, q in targets if (p, q) in classes}
+    expect = {(a, b, min(1.0, w or 0.0)) for (a, b), w in pairs(wanted).items() if a in there and b in there and (a, b) not in pairs(linked)}
+    frame = lambda rows, *names: spark.createDataFrame(rows, ", ".join(f"{n} {'double' if n == 'weight' else 'string'}" for n in names))
+    nodes, classes = frame([(n,) for n in there] * 2, "node"), ("source_class", "target_class")
+    made = mutate.connect_classes(nodes, frame(linked, *classes), frame(wanted, *classes), frame(sources, "source", "source_class", "weight"), frame(targets, "target", "target_class"))
+    got = [(r["source"], r["target"], r["weight"]) for r in made.collect()]
+    assert set(got) == expect and len(got) == len(expect) > 100
+    assert any((a, b) in pairs(linked) for a, b in pairs(wanted) if a in there and b in there and {q for n, q in targets if n == b} > {"v"})
