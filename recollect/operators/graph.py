@@ -145,16 +145,19 @@ def _strongest(adjacent: DataFrame, anchors: DataFrame, depth: int) -> DataFrame
     return rows.join(known, "__part").select("node", "hops", F.inline(each)).select("query", "node", "hops", "strength")
 
 
-def reach(edges: DataFrame, anchors: DataFrame, depth: int) -> DataFrame:
-    """(query, node, hops) along directed edges (source to target), nearest first and cycle-safe."""
+def reach(edges: DataFrame, anchors: DataFrame, depth: int | None = None) -> DataFrame:
+    """(query, node, hops) along directed edges (source to target), nearest first and cycle-safe; without ``depth`` to the end of every way."""
     edges = keyed(edges.select(F.col("source").alias("src"), F.col("target").alias("dst")).distinct(), "src", "edges")
-    levels = [materialize(anchors.select("query", "node", F.lit(0).alias("hops")).distinct(), "level")]
-    for hop in range(1, depth + 1):
+    levels, hop = [materialize(anchors.select("query", "node", F.lit(0).alias("hops")).distinct(), "level")], 0
+    while depth is None or hop < depth:
+        hop += 1
         step = levels[-1].select("query", F.col("node").alias("src")).hint("shuffle_hash").join(edges, "src").select("query", F.col("dst").alias("node")).distinct()
+        if depth is None and hop & (hop - 1) == 0:  # what was met before is let go after 1, 2, 4, 8 ... steps, so a cycle ends and few levels are read again
+            step = step.join(reduce(DataFrame.unionByName, levels).select("query", "node"), ["query", "node"], "left_anti")
         levels.append(materialize(step.withColumn("hops", F.lit(hop)), "level"))
         if levels[-1].isEmpty():
             break
-    # A node met again further on counts at its nearest; a level holds a query's node once, so ``depth`` bounds what a cycle repeats.
+    # A node met again further on counts at its nearest; a level holds a query's node once, so ``depth`` or the next power of two bounds what a cycle repeats.
     return reduce(DataFrame.unionByName, levels).groupBy("query", "node").agg(F.min("hops").alias("hops"))
 
 
@@ -169,8 +172,8 @@ def truncated(edges: DataFrame, ids: DataFrame, depth: int = 10) -> DataFrame:
     return ids.select("query").distinct().join(beyond, "query", "left").select("query", F.coalesce("more", F.lit(False)).alias("truncated"))
 
 
-def forget_preview(edges: DataFrame, ids: DataFrame, depth: int = 10) -> DataFrame:
-    """What was derived from each id."""
+def forget_preview(edges: DataFrame, ids: DataFrame, depth: int | None = None) -> DataFrame:
+    """All that was derived from each id, directly or not; ``depth`` is only for who asks for the first steps."""
     turned = edges.where("edge_type = 'derived_from'").select(F.col("target").alias("source"), F.col("source").alias("target"))
     return reach(turned, ids, depth).where("hops > 0")
 

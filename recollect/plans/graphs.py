@@ -80,11 +80,11 @@ def lineage(spark, d):
     return graph.lineage(e, e.select(F.col("source").alias("query"), F.col("source").alias("node")), 10).groupBy("query").agg(F.count("*").alias("origins"), F.max("hops").alias("depth"))
 
 
-@query(f"WITH RECURSIVE {views.DERIVED_SQL}, r(query, node, hops) AS (SELECT target, target, 0 FROM (SELECT DISTINCT target FROM derived) UNION ALL SELECT r.query, d.source, hops + 1 FROM r JOIN derived d ON d.target = r.node WHERE hops < 10) SELECT query, count(*) AS descendants FROM r WHERE hops > 0 GROUP BY 1")
+@query(f"WITH RECURSIVE {views.DERIVED_SQL}, r(query, node) AS (SELECT target, source FROM derived UNION SELECT r.query, d.source FROM r JOIN derived d ON d.target = r.node) SELECT query, count(*) AS descendants FROM r WHERE node IS DISTINCT FROM query GROUP BY 1")
 def forget_preview(spark, d):
-    """What derives from every order, ten steps on at most."""
+    """How many orders derive from every order, to the end of every chain."""
     e = views.derived(spark, d)
-    return graph.forget_preview(e, e.select(F.col("target").alias("query"), F.col("target").alias("node")), 10).groupBy("query").agg(F.count("*").alias("descendants"))
+    return graph.forget_preview(e, e.select(F.col("target").alias("query"), F.col("target").alias("node"))).groupBy("query").agg(F.count("*").alias("descendants"))
 
 
 @query("WITH e AS (SELECT 'c' || o_custkey AS node FROM orders WHERE o_orderstatus = 'P') SELECT 'c' || c_custkey AS node FROM customer WHERE 'c' || c_custkey NOT IN (SELECT node FROM e)")
