@@ -1,8 +1,6 @@
 """Jobs that must not end early: chains, matches and shares beyond a former bound."""
 
-from pyspark.sql import functions as F
-
-from recollect.operators import graph
+from recollect.operators import graph, recall
 from recollect.plans.catalogue import QUERIES
 
 
@@ -22,3 +20,16 @@ def test_preview_names_descendants_of_any_distance(spark, tmp_path):
     edges = spark.createDataFrame([(str(b), str(a), "derived_from") for a, b in pairs], "source string, target string, edge_type string")
     got = graph.forget_preview(edges, spark.createDataFrame([(n, str(n)) for n in (0, 5, 31)], "query long, node string")).select("query", F.col("node").cast("long").alias("node"), "hops").collect()
     assert {(r["query"], r["node"]): r["hops"] for r in got} == expect and len(got) == len(expect) and max(expect.values()) > 20
+
+
+def test_a_name_without_equal_label_is_held_by_every_near_label(spark):
+    """Labels of two types, copies by their first node; then a share that is reached only with the label before the name."""
+    nodes = spark.createDataFrame([("a1", "topic", "cold plate"), ("a2", "topic", "Cold-Plate"), ("a3", "topic", "old plate"), ("a4", "topic", "bold plate"), ("e1", "entity", "cold plates"), ("e2", "entity", "warm plates"), ("z", "context", "cold plat")], "node string, node_type string, label string")
+    named = spark.createDataFrame([(1, "cold plats", "topic"), (2, "cold plate", "topic"), (3, "cold plate", "fact")], "query long, label string, node_type string")
+    got = sorted(tuple(r) for r in recall.entity_anchors(nodes, named, least=None).collect())
+    assert got == [(1, "a1", False), (1, "a3", False), (1, "a4", False), (1, "e1", False), (2, "a1", True), (3, "a1", False), (3, "a3", False), (3, "a4", False), (3, "e1", False)]
+    nodes = spark.createDataFrame([("l", "topic", "cbbcabadc"), ("m", "topic", "ddaacaddbc")], "node string, node_type string, label string")
+    named = spark.createDataFrame([(1, "bbcbacdbc", "topic"), (2, "adddadaaddcbc", "topic")], "query long, label string, node_type string")
+    assert sorted(tuple(r) for r in recall.entity_anchors(nodes, named).collect()) == [(1, "l", False), (2, "m", False)]
+    turned = [named.selectExpr("concat('n', query) AS node", "node_type", "label"), nodes.selectExpr("ascii(node) AS query", "label", "node_type")]
+    assert recall.entity_anchors(*turned).count() == 0
