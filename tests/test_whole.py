@@ -1,7 +1,10 @@
 """Jobs that must not end early: chains, matches and shares beyond a former bound."""
 
-from recollect.operators import graph, recall
+import random
+
+from recollect.operators import graph, leiden, recall
 from recollect.plans.catalogue import QUERIES
+from recollect.session import materialize
 
 
 def test_preview_names_descendants_of_any_distance(spark, tmp_path):
@@ -33,3 +36,28 @@ def test_a_name_without_equal_label_is_held_by_every_near_label(spark):
     assert sorted(tuple(r) for r in recall.entity_anchors(nodes, named).collect()) == [(1, "l", False), (2, "m", False)]
     turned = [named.selectExpr("concat('n', query) AS node", "node_type", "label"), nodes.selectExpr("ascii(node) AS query", "label", "node_type")]
     assert recall.entity_anchors(*turned).count() == 0
+
+
+def test_a_node_moves_to_where_it_gains_most_and_stays_for_no_more(spark):
+    """Made-up choices against a plain loop: equal gains, nodes that are alone, several rows of a community."""
+    rng, rows, expect = random.Random(9), [], {}
+    for v in range(200):
+        own, own_n, k = rng.randrange(30), rng.randrange(1, 4), rng.randrange(1, 6) / 2
+        size = {c: (rng.randrange(1, 9) / 2 + k * (c == own), own_n if c == own else rng.randrange(1, 3)) for c in range(30)}
+        near = [(c, rng.randrange(1, 4) / 2) for c in (rng.randrange(30) for _ in range(rng.randrange(8)))]
+        rows += [(v, own, *size[own], 0.0, k), *((v, c, *size[c], w, None) for c, w in near)]
+        gains = {c: round(sum(w for d, w in near if d == c) - k * (size[c][0] - k * (c == own)) / 40, 9) for c in {own, *(c for c, _ in near)}}
+        best = min((-g, c != own, c) for c, g in gains.items() if c == own or not (size[c][1] == own_n == 1 and c > own))
+        expect[v] = (k, own, best[2], best[1])
+    table = spark.createDataFrame(rng.sample(rows, len(rows)), "node long, community long, all double, n long, w double, k double").repartition(3, "node")
+    chosen = table.mapInArrow(leiden._choices(40.0), "node long, k double, own long, community long, moves boolean")
+    assert {r["node"]: tuple(r)[1:] for r in chosen.collect()} == expect and 40 < sum(m for *_, m in expect.values()) < 200
+
+
+def test_a_round_of_moves_sorts_no_choices_by_struct(spark, monkeypatch):
+    pairs = [(f"v{i % 40}", f"v{(i * 7 + i // 40) % 40}", 1.0) for i in range(400)]
+    adj = materialize(graph.adjacency(spark.createDataFrame([p for p in pairs if p[0] != p[1]], "source string, target string, weight double")), "adjacency")
+    plans, write = [], leiden.materialize
+    monkeypatch.setattr(leiden, "materialize", lambda df, name: (name == "communities" and plans.append(df._jdf.queryExecution().executedPlan().toString())) or write(df, name))
+    assert leiden.leiden(adj, small=adj.count() - 1, rounds=2).count() == 40
+    assert len(plans) >= 2 and not any("SortAggregate" in p for p in plans)
