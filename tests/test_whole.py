@@ -1,7 +1,10 @@
 """Jobs that must not end early: chains, matches and shares beyond a former bound."""
 
+import os
 import random
+import time
 
+from recollect import session
 from recollect.operators import graph, leiden, recall
 from recollect.plans.catalogue import QUERIES
 from recollect.session import materialize
@@ -61,3 +64,23 @@ def test_a_round_of_moves_sorts_no_choices_by_struct(spark, monkeypatch):
     monkeypatch.setattr(leiden, "materialize", lambda df, name: (name == "communities" and plans.append(df._jdf.queryExecution().executedPlan().toString())) or write(df, name))
     assert leiden.leiden(adj, small=adj.count() - 1, rounds=2).count() == 40
     assert len(plans) >= 2 and not any("SortAggregate" in p for p in plans)
+
+
+def test_rounds_of_labels_leave_no_files_behind(spark, tmp_path, monkeypatch):
+    """A chain on which a label moves a step a round: one table of labels stays, nothing shuffled stays, and tables not written by the job are kept."""
+    edges = spark.range(30).selectExpr("format_string('n%02d', id) AS source", "format_string('n%02d', id + 1) AS target", "1.0D AS weight")
+    names, adjacent = graph.coded(edges)
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    shuffled = lambda: {f for _, _, fs in os.walk(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]) for f in fs if f.startswith("shuffle_")}
+    before = shuffled()
+    got = graph.communities(adjacent, dealt=True)
+    assert [f.split("-")[0] for f in os.listdir(tmp_path)] == ["labels"]
+    for _ in range(50):  # files are deleted by the executors, soon after
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.2)
+    assert not left
+    assert {r["community"] for r in got.collect()} == {adjacent.agg({"src": "min"}).first()[0]}
+    spark.range(3).write.parquet(f"{tmp_path}/given")
+    session.discard(spark.read.parquet(f"{tmp_path}/given"))
+    assert spark.read.parquet(f"{tmp_path}/given").count() == 3
