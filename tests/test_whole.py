@@ -84,3 +84,18 @@ def test_rounds_of_labels_leave_no_files_behind(spark, tmp_path, monkeypatch):
     spark.range(3).write.parquet(f"{tmp_path}/given")
     session.discard(spark.read.parquet(f"{tmp_path}/given"))
     assert spark.read.parquet(f"{tmp_path}/given").count() == 3
+
+
+def test_a_last_step_in_parts_reaches_what_a_whole_one_does(spark, monkeypatch):
+    """Nine queries on a random graph, the last step for four at a time; no step then makes rows of all their strengths."""
+    rng = random.Random(3)
+    edges = [(f"v{rng.randrange(60)}", f"v{rng.randrange(60)}", rng.randrange(1, 10) / 10) for _ in range(150)]
+    adjacent = graph.strengths(spark.createDataFrame(edges, "source string, target string, weight double"))
+    anchors = spark.createDataFrame([(q, f"v{q * 5}") for q in range(9)], "query long, node string")
+    whole = sorted(map(tuple, graph.walk(adjacent, anchors, 3).collect()))
+    steps, write = [], graph.materialize
+    monkeypatch.setattr(graph, "NARROW", 4)
+    monkeypatch.setattr(graph, "LARGE", 0)
+    monkeypatch.setattr(graph, "materialize", lambda df, name: steps.append(name) or write(df, name))
+    assert sorted(map(tuple, graph.walk(adjacent, anchors, 3).collect())) == whole and len(whole) > 200
+    assert steps.count("level") == 3 + 3
